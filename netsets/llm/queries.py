@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsets.llm import copies, encoding, packing, set_join, topn
+from netsets.llm import clusters, cooccurrence, copies, encoding, neighbours, packing, set_join, subjects, topn
 from netsets.session import written
 from netsets.sources.tables import folded, table
 
@@ -77,4 +77,66 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir).where("piece = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_pairs, p3_found, p5_records, p5_found, p6_top, p6_found, p8_ids, p9_packed, p9_found)}
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of both kinds as records of their own: (kind, item_id, vec)."""
+    fitted = table(spark, sf_dir, "gsemb_embedding").where("kind in ('gene', 'set')")
+    return fitted.select("kind", "item_id", F.when(F.col("kind") == "gene", F.col("gene_embedding")).otherwise(F.col("set_mu")).alias("vec"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group of three or more similar records: its size and most typical members."""
+    return clusters.described(clusters.clusters(_records(spark, sf_dir))).drop("internal")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of groups of three or more, with the group's lowest id."""
+    return clusters.grouped_pairs(clusters.clusters(_records(spark, sf_dir)))
+
+
+def _genes_in_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _current(spark, sf_dir).select(F.col("set_id").alias("basket"), F.explode("members").alias("item"))
+
+
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of genes in at least 8 sets: counts, the null's expectation, tail probability and false-discovery rate."""
+    found = cooccurrence.surprising_pairs(_genes_in_sets(spark, sf_dir), 8)
+    return found.select(F.col("item_1").alias("gene_1"), F.col("item_2").alias("gene_2"), "n12", "n1", "n2", "expected", "p_value", "q_value")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of genes in at least 8 sets and at least four times as often together as by chance."""
+    found = cooccurrence.surprising_pairs(_genes_in_sets(spark, sf_dir), 8)
+    return found.where(cooccurrence.at_least(4)).select(F.col("item_1").alias("gene_1"), F.col("item_2").alias("gene_2"))
+
+
+def _gene_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "gsemb_embedding").where("kind = 'gene'").select("kind", "item_id", F.col("gene_embedding").alias("vec"))
+
+
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar gene vectors of each gene vector, from a cosine of 0.85."""
+    return neighbours.nearest(_gene_vectors(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of gene rows where one is among the other's five most similar."""
+    found = neighbours.nearest(_gene_vectors(spark, sf_dir))
+    return found.select(F.least("item_id", "neighbour_id").alias("item_id_1"), F.greatest("item_id", "neighbour_id").alias("item_id_2")).distinct()
+
+
+def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of each document with its number of sentences and of those about the subject."""
+    docs = table(spark, sf_dir, "documents")
+    names = sorted(r["subject"] for r in table(spark, sf_dir, "subject_areas").select("subject").distinct().collect())  # a fixed table
+    return subjects.subjects_of(docs, subjects.train(docs, table(spark, sf_dir, "subject_labels"), names), names)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that at least a third of a document's sentences are about."""
+    return p10_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_clusters, p1_found, p2_pairs, p2_found, p3_pairs, p3_found, p5_records, p5_found, p6_top, p6_found, p7_neighbours, p7_found, p8_ids, p9_packed, p9_found, p10_subjects, p10_found)
+}
