@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsets.session import partitions, written
+from netsets.functions.numbering import discoveries, with_numbers
+from netsets.session import written
 
 #: Pairs counted at once in a task.
 CHUNK = 4_000_000
@@ -26,21 +27,6 @@ HEAVY = 2000
 _SHIFT = 31
 
 
-def with_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """`df` with `number`, 0, 1, 2, ... in the given order: a range sort, and offsets from the partitions' row counts."""
-    n = partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    ranged = written(ranged, name)
-    counts = ranged.groupBy(F.shiftrightunsigned("_id", 33).cast("int").alias("part")).count().collect()  # one row per partition
-    offsets = np.zeros(max([n, *(r["part"] + 1 for r in counts)]) + 1, np.int64)
-    for r in counts:
-        offsets[r["part"] + 1] = r["count"]
-    starts = F.array(*[F.lit(int(x)) for x in np.cumsum(offsets)])
-    part = F.shiftrightunsigned("_id", 33).cast("int")
-    local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.withColumn("number", F.element_at(starts, part + 1) + local).drop("_id")
-
-
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of packed pairs (low number << 31 | high number) over baskets of sorted item numbers."""
 
@@ -149,23 +135,6 @@ def upper_tail(n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.where(n <= 0, 1.0, np.where(n > ceiling, 0.0, np.clip(tail, 0.0, 1.0)))
 
 
-def discoveries(tests: DataFrame, p: str, keys: list[str], total: int) -> DataFrame:
-    """`tests` with q_value, the false-discovery rate of Benjamini and Hochberg over `total` tests, those not in the table having p = 1."""
-    ranked = with_numbers(tests, [p, *keys], "by-p")
-    raw = ranked.withColumn("_raw", F.col(p) * F.lit(float(total)) / (F.col("number") + 1))
-    n = max(1, partitions(tests.sparkSession))
-    count = max(1, ranked.count())
-    raw = raw.withColumn("_block", F.floor(F.col("number") * n / F.lit(count)).cast("int"))
-    lowest = {r["_block"]: r["low"] for r in raw.groupBy("_block").agg(F.min("_raw").alias("low")).collect()}  # one row per block
-    later, after = 1.0, [1.0] * n
-    for b in range(n - 1, -1, -1):
-        after[b] = later
-        later = min(later, lowest.get(b, 1.0))
-    rest = F.element_at(F.array(*[F.lit(float(x)) for x in after]), F.col("_block") + 1)
-    backwards = Window.partitionBy("_block").orderBy(F.col("number").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn("q_value", F.least(F.min("_raw").over(backwards), rest, F.lit(1.0))).drop("_raw", "_block", "number")
-
-
 def _tails(sizes: np.ndarray, classes: np.ndarray, m: np.ndarray, probabilities: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
