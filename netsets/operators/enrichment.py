@@ -141,12 +141,11 @@ def core_genes(weights: DataFrame, genes: DataFrame, top_genes: int, drop_zero_w
     """
     order = Window.partitionBy("set_id").orderBy(F.round("w", 12).desc(), "pos")
     rows = weights.select("set_id", "gene", "pos", "w")
-    if drop_zero_weight:
-        rows = rows.where("w > 0")
+    rows = rows.where("w > 0") if drop_zero_weight else rows.where(F.round("w", 12) > 0)
     best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_genes)
-    listed = best.groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gene"))), lambda s: s["gene"]).alias("l"))
+    listed = weights.select("set_id").distinct().join(best, "set_id", "left").groupBy("set_id").agg(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gene"))), lambda s: s["gene"]), lambda g: g.isNotNull()).alias("l"))
     if not drop_zero_weight:
-        # what may fill up a set: the first genes in order, at most twice top_genes of them
+        # what may fill up a set, all of it at weight 0: the first genes in order, at most twice top_genes of them
         fill = [r["gene"] for r in genes.orderBy("pos").limit(2 * top_genes).select("gene").collect()]
         spare = F.array(*[F.lit(g) for g in fill]).cast("array<string>")
         listed = listed.withColumn("l", F.slice(F.concat("l", F.array_except(spare, "l")), 1, top_genes))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from netsets.plans import edge_queries
+from netsets.plans import edge_queries, model_queries, model_sql
 
-QUERIES = {**edge_queries.QUERIES}
-SQL = {**edge_queries.SQL}
-FLAGSHIP = "p4_gene_runs"
+QUERIES = {**edge_queries.QUERIES, **model_queries.QUERIES}
+SQL = {**edge_queries.SQL, **model_sql.SQL}
+FLAGSHIP = "closest_sets"
