@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil
 
 import numpy as np
@@ -162,19 +162,29 @@ def enrichment(stats: DataFrame, embedding: DataFrame, gaussians: DataFrame, mem
     `sets` are an error. A null statistic makes ES null where it has weight.
     """
     o = Options(**options)
+    tested, genes, weights = _prepared(stats, embedding, gaussians, membership, sets, stat, o)
+    if o.degree_beta:
+        check(graph is not None, "degree_beta needs the graph")
+        weights = written(hub_weights(weights, degrees(graph, weighted=True), o.degree_beta, o.eps), "weights")
+    return _tested(tested, genes, weights, membership, o)
+
+
+def _prepared(stats: DataFrame, embedding: DataFrame, gaussians: DataFrame, membership: DataFrame | None, sets: list[str] | None, stat: str, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tested sets, the genes with their statistics, and the soft membership."""
     check(not o.restrict_to_members or membership is not None, "restriction needs the membership")
-    check(o.degree_beta == 0 or graph is not None, "degree_beta needs the graph")
     tested = gaussians.select(F.col("set_id").cast("string").alias("set_id"), "mu", "var")
     if sets is not None:
         asked = stats.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(sets)], "set_id string")
         unknown = [r["set_id"] for r in asked.join(tested, "set_id", "left_anti").limit(3).collect()]
         check(not unknown, f"unknown sets: {', '.join(unknown)}")
         tested = tested.join(asked, "set_id", "left_semi")
+    tested = written(tested, "tested")
     genes = overlap(stats, embedding, stat)
     weights = soft_membership(embedding, tested, genes, membership, o.score, o.temperature, o.restrict_to_members, o.eps)
-    if o.degree_beta:
-        weights = hub_weights(weights, degrees(graph, weighted=True), o.degree_beta, o.eps)
-    weights = written(weights, "weights")
+    return tested, genes, written(weights, "weights")
+
+
+def _tested(tested: DataFrame, genes: DataFrame, weights: DataFrame, membership: DataFrame | None, o: Options) -> DataFrame:
     every = tested.select("set_id")
     undefined = genes.where("stat is null").isEmpty()
     total = F.sum(F.col("w") * F.col("stat"))
@@ -213,23 +223,37 @@ def gsea(stats: DataFrame, *args, **kwargs) -> DataFrame:
     return enrichment(stats, *args, **kwargs)
 
 
-def ora(labels: DataFrame, *args, stat: str = "y", **kwargs) -> DataFrame:
-    """Enrichment of 0/1 labels (gene, y); ValueError for other values. A null label makes the ES of sets that weigh it null."""
+def _check_labels(labels: DataFrame, stat: str) -> None:
     require(labels, "gene", stat)
     value = F.col(stat).cast("double")
     check(labels.where(value.isNotNull() & ~value.isin(0.0, 1.0)).isEmpty(), "labels must be 0 or 1")
+
+
+def ora(labels: DataFrame, *args, stat: str = "y", **kwargs) -> DataFrame:
+    """Enrichment of 0/1 labels (gene, y); ValueError for other values. A null label makes the ES of sets that weigh it null."""
+    _check_labels(labels, stat)
     return enrichment(labels, *args, stat=stat, **kwargs)
 
 
-def sweep_hub_beta(stats: DataFrame, *args, betas: tuple[float, ...] = (0, 0.25, 0.5, 1), mode: str = "gsea", **kwargs) -> tuple[DataFrame, DataFrame]:
-    """Enrichment for each beta: the long table, and (ID, ES_beta_<b>..., deltaES_vs0_<b>...) with deltas where 0 is among the betas."""
-    test = {"gsea": gsea, "ora": ora}[one_of(mode, ("gsea", "ora"), "mode")]
+def sweep_hub_beta(stats: DataFrame, embedding: DataFrame, gaussians: DataFrame, membership: DataFrame | None = None, graph: Graph | None = None, betas: tuple[float, ...] = (0, 0.25, 0.5, 1), mode: str = "gsea", sets: list[str] | None = None, stat: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Enrichment for each beta: the long table, and (ID, ES_beta_<b>..., deltaES_vs0_<b>...) with deltas where 0 is among the betas.
+
+    The soft membership and the degrees are made once for all betas.
+    """
+    stat = stat or {"gsea": "stat", "ora": "y"}[one_of(mode, ("gsea", "ora"), "mode")]
     check(len(betas) > 0 and all(np.isfinite(b) and b >= 0 for b in betas), "betas must be finite and not negative")
     betas = list(dict.fromkeys(float(b) for b in betas))
+    check(graph is not None or not any(betas), "betas above 0 need the graph")
+    if mode == "ora":
+        _check_labels(stats, stat)
+    o = Options(**options)
+    tested, genes, weights = _prepared(stats, embedding, gaussians, membership, sets, stat, o)
+    degree = written(degrees(graph, weighted=True), "degrees") if any(betas) else None
     long = None
     for b in betas:
-        own = test(stats, *args, degree_beta=b, **kwargs)
-        long = own if long is None else long.unionByName(own)
+        own = written(hub_weights(weights, degree, b, o.eps), "weights") if b else weights
+        result = _tested(tested, genes, own, membership, replace(o, degree_beta=b))
+        long = result if long is None else long.unionByName(result)
     long = written(long, "sweep")
     wide = long.groupBy("ID").pivot("degree_beta", betas).agg(F.first("ES"))
     named = wide.select("ID", *[F.col(f"`{b}`").alias(f"ES_beta_{b:g}") for b in betas])

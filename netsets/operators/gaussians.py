@@ -12,18 +12,19 @@ def set_gaussians(embedding: DataFrame, membership: DataFrame, eps: float = 1e-8
     """(set_id, n, mu, var): mean and sample variance, at least eps, of each set's members in the embedding.
 
     A single member has variance eps everywhere; a set without members in the embedding keeps a row with nulls and n = 0.
-    Repeated members count once; an empty membership gives no rows. One wide partial aggregate per set and task is shuffled.
+    Repeated members count once; an empty membership gives no rows. Partial moments, one row per set, dimension and task, are
+    shuffled.
     """
     vectors = embedding_contract(embedding)
-    dim = width(vectors, "vec")
+    width(vectors, "vec")
     members = membership_contract(membership)
     sets = membership.select(F.col("set_id").cast("string").alias("set_id")).where("set_id is not null").distinct()
-    joined = members.join(vectors, "gene").select("set_id", *[F.col("vec")[i].alias(f"x{i}") for i in range(dim)])
-    moments = [f(f"x{i}").alias(f"{n}{i}") for i in range(dim) for n, f in (("m", F.avg), ("v", F.var_samp))]
-    fitted = joined.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), *moments)
-    mu = F.array(*[F.col(f"m{i}") for i in range(dim)]).cast("array<double>")
-    var = F.array(*[F.greatest(F.coalesce(f"v{i}", F.lit(eps)), F.lit(eps)) for i in range(dim)]).cast("array<double>")
-    return sets.join(fitted.select("set_id", "n", mu.alias("mu"), var.alias("var")), "set_id", "left").select("set_id", F.coalesce("n", F.lit(0)).alias("n"), "mu", "var")
+    long = members.join(vectors, "gene").select("set_id", F.posexplode("vec").alias("k", "x"))
+    moments = long.groupBy("set_id", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mu"), F.var_samp("x").alias("v"))
+    floor = F.greatest(F.coalesce("v", F.lit(eps)), F.lit(eps))
+    fitted = moments.groupBy("set_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "mu", floor.alias("var")))).alias("g"))
+    arrays = fitted.select("set_id", "n", F.transform("g", lambda s: s["mu"]).alias("mu"), F.transform("g", lambda s: s["var"]).alias("var"))
+    return sets.join(arrays, "set_id", "left").select("set_id", F.coalesce("n", F.lit(0)).alias("n"), "mu", "var")
 
 
 def cluster_gaussians(embedding: DataFrame, clusters: DataFrame, eps: float = 1e-8, min_size: int = 2) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsets.contracts import check, embedding_contract, gaussian_contract, one_of, require, width
+from netsets.session import written
 
 #: Rows of a block, about.
 BLOCK = 512
@@ -73,6 +74,10 @@ def _packed(rows: DataFrame, arrays: list[str], side: str, n: int) -> DataFrame:
 
 def pairwise(left: DataFrame, right: DataFrame, arrays_left: list[str], arrays_right: list[str], kernel: str, eps: float, top: int | None = None, lowest: bool = False, block: int = BLOCK) -> DataFrame:
     """(id_1, id_2, value) of the kernel over (id, arrays...) of both sides; `top` keeps each left row's best in a pair of blocks."""
+    # both sides are counted and packed: compute each once
+    same = left is right
+    left = written(left, "left")
+    right = left if same else written(right, "right")
     n_left, n_right = (max(1, ceil(x.count() / block)) for x in (left, right))
     a, b = _packed(left, arrays_left, "left", n_left), _packed(right, arrays_right, "right", n_right)
     pairs = a.withColumn("block_right", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).join(b, "block_right").select("left", "right")
@@ -110,7 +115,8 @@ def _chosen(rows: DataFrame, ids: list[str] | None, what: str) -> DataFrame:
 
 def _sides(rows: DataFrame, ids: list[str] | None, others: list[str] | None, what: str) -> tuple[DataFrame, DataFrame]:
     """Both sides of a request: with `ids` alone they are compared with themselves, with `others` alone all rows with those."""
-    return _chosen(rows, ids, what), _chosen(rows, others if others is not None else ids, what)
+    one = _chosen(rows, ids, what)
+    return one, one if others is None else _chosen(rows, others, what)
 
 
 def cosine(embedding: DataFrame, other: DataFrame | None = None, genes: list[str] | None = None, other_genes: list[str] | None = None, eps: float = 1e-12) -> DataFrame:
@@ -121,16 +127,16 @@ def cosine(embedding: DataFrame, other: DataFrame | None = None, genes: list[str
     rows = embedding_contract(embedding).select(F.col("gene").alias("id"), "vec")
     if other is not None:
         one, two = rows, embedding_contract(other).select(F.col("gene").alias("id"), "vec")
+        check(0 in (a := {width(one, "vec"), width(two, "vec")}) or len(a) == 1, "the embeddings differ in dimension")
     else:
         one, two = _sides(rows, genes, other_genes, "gene")
-    check(width(one, "vec") in (0, width(two, "vec")) or two.isEmpty(), "the embeddings differ in dimension")
     return pairwise(one, two, ["vec"], ["vec"], "cosine", eps).select(F.col("id_1").alias("gene_1"), F.col("id_2").alias("gene_2"), F.col("value").alias("similarity"))
 
 
 def cosine_top(embedding: DataFrame, k: int = 10, genes: list[str] | None = None, eps: float = 1e-12) -> DataFrame:
     """(gene_1, gene_2, similarity, rank): the k most similar other genes of each gene, ties (to 9 decimals) by id."""
     rows = embedding_contract(embedding).select(F.col("gene").alias("id"), "vec")
-    near = pairwise(_chosen(rows, genes, "gene"), rows, ["vec"], ["vec"], "cosine", eps, top=k + 1).where("id_1 <> id_2")
+    near = pairwise(rows if genes is None else _chosen(rows, genes, "gene"), rows, ["vec"], ["vec"], "cosine", eps, top=k + 1).where("id_1 <> id_2")
     order = Window.partitionBy("id_1").orderBy(F.round("value", 9).desc(), "id_2")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("id_1").alias("gene_1"), F.col("id_2").alias("gene_2"), F.col("value").alias("similarity"), "rank")
@@ -146,7 +152,7 @@ def set_distance(gaussians: DataFrame, other: DataFrame | None = None, sets: lis
     rows = gaussian_contract(gaussians).where("mu is not null and var is not null").select(F.col("set_id").alias("id"), "mu", "var")
     if other is not None:
         one, two = rows, gaussian_contract(other).where("mu is not null and var is not null").select(F.col("set_id").alias("id"), "mu", "var")
-        check(width(one, "mu") == width(two, "mu") or one.isEmpty() or two.isEmpty(), "the Gaussians differ in dimension")
+        check(0 in (a := {width(one, "mu"), width(two, "mu")}) or len(a) == 1, "the Gaussians differ in dimension")
     else:
         one, two = _sides(rows, sets, other_sets, "set")
     return pairwise(one, two, ["mu", "var"], ["mu", "var"], metric, eps).select(F.col("id_1").alias("set_1"), F.col("id_2").alias("set_2"), F.col("value").alias("distance"))

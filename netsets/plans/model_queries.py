@@ -18,7 +18,7 @@ from netsets.streaming.scoring import stream_scores
 
 
 def r(name: str, digits: int = 6, alias: str | None = None):
-    return (F.round(F.col(name), digits) + F.lit(0.0)).alias(alias or name)
+    return (F.round(F.col(f"`{name}`"), digits) + F.lit(0.0)).alias(alias or name)
 
 
 def part_id(name: str):

@@ -42,7 +42,7 @@ _REGION_SEEDS = "select gene as node, set_id as col, 1.0 / count(*) over (partit
 _NODES = "nodes as (select node, row_number() over (order by node) as pos from (select src as node from adj union select dst from adj))"
 _MARKS = _NODES + ", marks as (select node as landmark, rank from (select node, row_number() over (order by coalesce(n, 0) desc, pos) as rank from nodes left join (select src, count(*) as n from adj group by 1) on src = node) where rank <= 4)"
 _MARK_SEEDS = "select landmark as node, rank as col, 1.0 as val from marks"
-_FEATURES = f"with {_TRADE}, {_COL}, {_MARKS}, {_walk(5, _MARK_SEEDS)}, f as (select n.node, k.rank, coalesce(w.val, 0.0) from nodes n join marks k on true left join walk w on w.node = n.node and w.col = k.rank)"
+_FEATURES = f"with {_TRADE}, {_COL}, {_MARKS}, {_walk(5, _MARK_SEEDS)}, f as (select n.node, k.rank, coalesce(w.val, 0.0) as val from nodes n join marks k on true left join walk w on w.node = n.node and w.col = k.rank)"
 
 _DISTANCE = {
     "w2": "sum((a.mu - b.mu) * (a.mu - b.mu) + (sqrt(a.v) - sqrt(b.v)) * (sqrt(a.v) - sqrt(b.v)))",
