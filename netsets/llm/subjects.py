@@ -32,11 +32,12 @@ MARKED_WRONGLY, MISSED = 0.02, 0.08
 BUCKETS, DIM, ROUNDS, TRAINING_TASKS, RATE = 1 << 15, 16, 32, 8, 0.1
 _SENTENCE_END = regex.compile(r"(?<=[.!?…。])[\"'»”’)\]]*\s+")
 _WORD = regex.compile(r"\p{L}+")
+_TAG = regex.compile(r"</?\p{L}[^<>]{0,200}>")
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The words, lower-cased, of each sentence; what has no letters is no sentence."""
-    found = (_WORD.findall(s.lower()) for s in _SENTENCE_END.split(text or ""))
+    """The words, lower-cased, of each sentence; tags are no words, and what has no letters is no sentence."""
+    found = (_WORD.findall(s.lower()) for s in _SENTENCE_END.split(_TAG.sub(" ", text or "")))
     return [words for words in found if words]
 
 
