@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netsets.functions.sampling import bounded_sample
 from netsets.session import written
 
-#: Labelled documents used for training, at most (taken in the order of a hash); everything else covers all rows.
+#: Labelled documents used for training, at most (those with a low hash); everything else covers all rows.
 MAX_TRAINING = 20_000
 #: Sentences up to which "at least a third of them" is "at least one".
 SHORT = 3
@@ -104,7 +105,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> D
     known = labels.select("doc_id", "subject", F.coalesce("annotator", F.lit("")).alias("annotator")).where("doc_id is not null").distinct()
     share = lambda s: F.count_distinct(F.when(F.col("subject") == s, F.col("annotator"))) / F.count_distinct("annotator")
     wanted = known.groupBy("doc_id").agg(F.array(*[share(s).cast("float") for s in subjects]).alias("wanted"))
-    chosen = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING)
+    chosen = bounded_sample(wanted, "doc_id", labels.select("doc_id").distinct().count(), MAX_TRAINING)
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("wanted", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

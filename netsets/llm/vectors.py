@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netsets.functions.sampling import bounded_sample
+
 DIM = 64
-#: Vectors used to learn the rotations, at most; all vectors are indexed.
-SAMPLE = 20_000
+#: Vectors used to learn the rotations, about and at most; all vectors are indexed.
+SAMPLE = 5_000
 #: Share of flipped bits and of misses the number of substrings is laid out for (a cosine of 0.93 flips 0.12 of the bits).
 FLIPPED, MISSED = 0.12, 0.03
 #: Rows of a bucket that one task compares with each other; larger buckets are split into pairs of blocks.
@@ -77,7 +79,7 @@ def learn(rows: DataFrame, n: int, dim: int = DIM, seed: int = 7, rounds: int =
     bits = int(np.clip(round(math.log2(max(n, 2))) - 4, 6, 24))
     hit = (1 - FLIPPED) ** bits
     substrings = math.ceil(math.log(MISSED) / math.log(1 - hit))
-    sample = rows.select("item_id", "vec").orderBy(F.xxhash64("item_id"), "item_id").limit(SAMPLE).select("vec").toArrow()
+    sample = bounded_sample(rows.select("item_id", "vec"), "item_id", n, SAMPLE).select("vec").toArrow()
     random = np.random.default_rng(seed)
     blocks = []
     unit = _matrix(sample.column(0).combine_chunks()) if sample.num_rows else np.eye(dim)
