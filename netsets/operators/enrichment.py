@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsets.contracts import check, embedding_contract, finite, membership_contract, one_of, require
-from netsets.functions.numbering import discoveries
+from netsets.functions.numbering import discoveries, with_numbers
 from netsets.operators.concise import gene_set_scores
 from netsets.operators.graph import Graph, degrees
 from netsets.session import written
@@ -70,15 +70,16 @@ def hub_weights(weights: DataFrame, degree: DataFrame, beta: float, eps: float =
 def permuted_stats(genes: DataFrame, nperm: int, seed: int = 1) -> DataFrame:
     """(b, gene, stat): for each permutation b of 1..nperm the statistics dealt to the genes anew, in the order of a seeded md5.
 
-    The gene at place i of the shuffled order gets the statistic of place i of the genes' own order; all sets share b.
+    The gene at place i of the shuffled order gets the statistic of place i of the genes' own order; all sets share b. Places
+    come from one range sort over all permutations, as each has the same number of genes.
     """
-    spark = genes.sparkSession
-    runs = spark.range(1, nperm + 1).select(F.col("id").cast("int").alias("b"))
-    dealt = genes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(nperm)))) if nperm else genes.join(runs.where("false"), F.lit(False))
-    places = F.row_number().over(Window.partitionBy("b").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), "gene")), "gene"))
-    shuffled = dealt.select("b", "gene", places.alias("place"))
-    own = dealt.select("b", F.col("stat"), F.row_number().over(Window.partitionBy("b").orderBy("gene")).alias("place"))
-    return shuffled.join(own, ["b", "place"]).select("b", "gene", "stat")
+    check(nperm >= 1, "nperm must be at least 1")
+    n = genes.count()
+    dealt = genes.select("gene", F.explode(F.sequence(F.lit(1), F.lit(nperm))).alias("b"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), "gene"))
+    shuffled = with_numbers(dealt, ["b", order, "gene"], "dealt").select("b", "gene", (F.col("number") % F.lit(n)).alias("place"))
+    own = with_numbers(genes.select("gene", "stat"), ["gene"], "in-order").select("stat", F.col("number").alias("place"))
+    return shuffled.join(own, "place").select("b", "gene", "stat")
 
 
 def null_scores(weights: DataFrame, permuted: DataFrame, n_genes: int, n_sets: int) -> DataFrame:

@@ -26,12 +26,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a new folder below TMPDIR."""
+    """The folder named by spark.checkpoint.dir; a local session without one (tests) gets a new folder below TMPDIR, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = checkpoint.get() if checkpoint.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-netsets-")
         spark.sparkContext.setCheckpointDir(found)
     return found
