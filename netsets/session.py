@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -50,3 +51,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster, once per application; local sessions have it already."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-netsets-"), "netsets"), "zip", os.path.dirname(root), os.path.basename(root))
+    context.addPyFile(archive)  # served by the driver; the archive itself is not read on other machines
+    _shipped.add(context.applicationId)
