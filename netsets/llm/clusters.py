@@ -32,7 +32,7 @@ def links(distinct: DataFrame, threshold: float) -> DataFrame:
     counts = {r["kind"]: r["n"] for r in distinct.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per kind
     if not counts:
         return distinct.select(F.col("item_id").alias("a"), F.col("item_id").alias("b"), F.lit(0.0).cast("float").alias("affinity")).where("false")
-    codes = {kind: vectors.learn(distinct.where(F.col("kind") == kind), n) for kind, n in counts.items()}
+    codes = {kind: vectors.learn(distinct.where(F.col("kind") == kind), n, threshold) for kind, n in counts.items()}
     met = written(vectors.meetings(distinct, codes, threshold, _links, "a long, b long, affinity float, sure boolean"), "links")
     doubtful = met.where("not sure")
     exact = vectors.exact_cosines(doubtful, distinct).where(F.col("cos") >= threshold)

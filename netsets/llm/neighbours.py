@@ -41,7 +41,7 @@ def nearest(rows: DataFrame, k: int = 5, threshold: float = 0.85) -> DataFrame:
     good = rows.select("kind", F.col("item_id").cast("long").alias("item_id"), "vec").where(vectors.usable(F.col("vec")) & F.col("item_id").isNotNull() & F.col("kind").isNotNull())
     distinct = written(vectors.distinct_vectors(good), "distinct-vectors")
     counts = {r["kind"]: r["n"] for r in distinct.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per kind
-    codes = {kind: vectors.learn(distinct.where(F.col("kind") == kind), n) for kind, n in counts.items()}
+    codes = {kind: vectors.learn(distinct.where(F.col("kind") == kind), n, threshold) for kind, n in counts.items()}
     repeated = distinct.where("copies > 1").select("kind", "digest_1", "digest_2", F.col("item_id").alias("head"))
     digests = [F.col("kind"), F.xxhash64("vec").alias("digest_1"), F.xxhash64(F.lit(17), "vec").alias("digest_2")]
     members = written(good.select(*digests, "item_id").join(repeated, ["kind", "digest_1", "digest_2"]).select("head", "item_id"), "copies-of-vectors")

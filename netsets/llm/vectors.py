@@ -23,8 +23,11 @@ from netsets.functions.sampling import bounded_sample
 DIM = 64
 #: Vectors used to learn the rotations, about and at most; all vectors are indexed.
 SAMPLE = 5_000
-#: Share of flipped bits and of misses the number of substrings is laid out for (a cosine of 0.93 flips 0.12 of the bits).
-FLIPPED, MISSED = 0.12, 0.03
+#: The lowest cosine asked for by default, the share of bits that two vectors at it differ in, and the share of such pairs that may miss each other.
+THRESHOLD = 0.85
+FLIPPED, MISSED = math.acos(THRESHOLD) / math.pi, 0.02
+#: Rows of an average bucket, as a power of two: a task compares this many much faster than another substring is shuffled.
+BUCKET_BITS = 9
 #: Rows of a bucket that one task compares with each other; larger buckets are split into pairs of blocks.
 BLOCK = 4096
 #: Two low bits of `pair`: all rows compare with each other, or (0, 1) the rows of one block with those of the other.
@@ -74,10 +77,11 @@ class Codes:
         return signs.reshape(len(quantised), self.substrings, self.bits) @ weights
 
 
-def learn(rows: DataFrame, n: int, dim: int = DIM, seed: int = 7, rounds: int = 12) -> Codes:
-    """Codes for `n` vectors: substrings of about log2(n) - 4 bits, as many as FLIPPED and MISSED ask for."""
-    bits = int(np.clip(round(math.log2(max(n, 2))) - 4, 6, 24))
-    hit = (1 - FLIPPED) ** bits
+def learn(rows: DataFrame, n: int, threshold: float = THRESHOLD, dim: int = DIM, seed: int = 7, rounds: int = 12) -> Codes:
+    """Codes for `n` vectors: substrings of about log2(n) - BUCKET_BITS bits, as many as pairs with a cosine of `threshold` need to meet but for MISSED."""
+    bits = int(np.clip(round(math.log2(max(n, 2))) - BUCKET_BITS, 6, 24))
+    flipped = max(math.acos(threshold) / math.pi, 0.01)  # 8-bit numbers may flip bits of equal vectors
+    hit = (1 - flipped) ** bits
     substrings = math.ceil(math.log(MISSED) / math.log(1 - hit))
     sample = bounded_sample(rows.select("item_id", "vec"), "item_id", n, SAMPLE).select("vec").toArrow()
     random = np.random.default_rng(seed)

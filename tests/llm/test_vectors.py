@@ -128,3 +128,25 @@ def test_codes_fit_the_number_of_vectors(spark, n):
     codes = vectors.learn(spark.createDataFrame([("gene", 1, [1.0] * 64)], "kind string, item_id long, vec array<float>"), n)
     hit = (1 - vectors.FLIPPED) ** codes.bits
     assert 1 - (1 - hit) ** codes.substrings >= 1 - vectors.MISSED and codes.rotation.shape == (64, codes.bits * codes.substrings)
+
+
+@pytest.mark.parametrize("n", [59_000, 10**6])
+def test_pairs_just_above_the_threshold_meet(spark, n):
+    """Pairs planted in the band from 0.85 to 0.86, with the codes for a production number of vectors."""
+    r = np.random.default_rng(6)
+    one, turn = r.normal(size=(2, 3000, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    turn -= (turn * one).sum(1, keepdims=True) * one
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    cos = r.uniform(0.8501, 0.86, size=(3000, 1))
+    two = cos * one + np.sqrt(1 - cos**2) * turn
+    df = spark.createDataFrame([("gene", int(i), v.tolist()) for i, v in enumerate(np.concatenate([one, two]))], "kind string, item_id long, vec array<double>")
+    met = vectors.meetings(df, {"gene": vectors.learn(df, n)}, 0.85, clusters._links, "a long, b long, affinity float, sure boolean")
+    planted = met.where("b - a = 3000").count()
+    assert planted / 3000 >= 0.97
+
+
+def test_the_threshold_sets_the_number_of_substrings(spark):
+    one = spark.createDataFrame([("gene", 1, [1.0] * 64)], "kind string, item_id long, vec array<float>")
+    high, low = (vectors.learn(one, 59_000, threshold) for threshold in (0.95, 0.8))
+    assert high.substrings < vectors.learn(one, 59_000).substrings < low.substrings
