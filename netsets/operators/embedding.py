@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from netsets.contracts import check, require, width
 from netsets.session import written
 
+#: The autoencoder is trained when its error is this close to the lowest possible one, as a share of the features' variance.
+SETTLED = 1e-6
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """The rows of a list column of equal lengths."""
@@ -70,12 +73,19 @@ def svd_embedding(features: DataFrame, dim: int = 64) -> DataFrame:
     return mapped(rows.withColumnRenamed("node", "gene"), "features", "vec", lambda x: (x - mean) @ turn)
 
 
-def autoencoder_embedding(features: DataFrame, dim: int = 64, epochs: int = 50, lr: float = 1e-3, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(gene, pos, vec) by a linear encoder and decoder trained on the mean squared error, and (epoch, loss).
+def autoencoder_embedding(features: DataFrame, dim: int = 64, epochs: int = 50, lr: float = 1e-3, seed: int = 1, batch_size: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(gene, pos, vec) by a linear encoder and decoder trained on the mean squared error, and (epoch, loss, least, variance).
 
-    Each epoch sums the gradients of all partitions and takes one Adam step, so the result depends on the seed alone.
+    An epoch is one Adam step for every `batch_size` rows. The error of a linear map and its gradient over all rows follow from the
+    features' means and covariances (k x k, summed over the partitions once), so each step takes the gradient of the whole table
+    instead of a batch's, and the result depends on the seed alone. `loss` is the error after the epoch, `least` the lowest one
+    that any linear code of `dim` numbers has, `variance` the error of giving the mean. Training ends when `loss` is within
+    SETTLED of `least`, else after `epochs`.
     """
-    rows, k, n, _ = _centred(features, dim)
+    check(epochs >= 1 and batch_size >= 1, "epochs and batch_size must be at least 1")
+    rows, k, n, centre = _centred(features, dim)
+    spread = summed(rows, "features", lambda x: ((x - centre).T @ (x - centre)).ravel()).reshape(k, k) / n
+    variance, least = float(np.trace(spread)) / k, max(float(np.linalg.eigvalsh(spread)[: k - dim].sum()) / k, 0.0)
     random = np.random.default_rng(seed)
     sizes = [k * dim, dim, dim * k, k]
     limit = 1 / np.sqrt(np.array([k, k, dim, dim]))
@@ -86,19 +96,27 @@ def autoencoder_embedding(features: DataFrame, dim: int = 64, epochs: int = 50,
         w1, b1, w2, b2 = np.split(v, np.cumsum(sizes)[:-1])
         return w1.reshape(k, dim), b1, w2.reshape(dim, k), b2
 
-    for step in range(1, epochs + 1):
-        w1, b1, w2, b2 = parts(flat)
-
-        def gradient(x: np.ndarray) -> np.ndarray:
-            z = x @ w1 + b1
-            off = z @ w2 + b2 - x
-            pull = 2 * off / (n * k)
-            back = pull @ w2.T
-            return np.concatenate([(x.T @ back).ravel(), back.sum(0), (z.T @ pull).ravel(), pull.sum(0), [np.square(off).sum() / (n * k)]])
-
-        sums = summed(rows, "features", gradient)
-        losses.append((step, float(sums[-1])))
-        mean, square = 0.9 * mean + 0.1 * sums[:-1], 0.999 * square + 0.001 * np.square(sums[:-1])
-        flat = flat - lr * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    def errors(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row x is given as x + (x - centre) @ off + shift; also spread @ off."""
+        w1, b1, w2, b2 = parts(v)
+        off = w1 @ w2 - np.eye(k)
+        return off, centre @ off + b1 @ w2 + b2, spread @ off
+
+    step = 0
+    for epoch in range(1, epochs + 1):
+        for _ in range(-(-n // batch_size)):
+            step += 1
+            w1, b1, w2, _ = parts(flat)
+            _, shift, moved = errors(flat)
+            pull = 2 * shift / k
+            turn = 2 * moved / k + np.outer(centre, pull)
+            gradient = np.concatenate([(turn @ w2.T).ravel(), w2 @ pull, (w1.T @ turn + np.outer(b1, pull)).ravel(), pull])
+            mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * np.square(gradient)
+            flat = flat - lr * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        off, shift, moved = errors(flat)
+        losses.append((epoch, float((off * moved).sum() + np.square(shift).sum()) / k, least, variance))
+        if losses[-1][1] - least <= SETTLED * variance:
+            break
     w1, b1, _, _ = parts(flat)
-    return mapped(rows.withColumnRenamed("node", "gene"), "features", "vec", lambda x: x @ w1 + b1), features.sparkSession.createDataFrame(losses, "epoch int, loss double")
+    embedding = mapped(rows.withColumnRenamed("node", "gene"), "features", "vec", lambda x: x @ w1 + b1)
+    return embedding, features.sparkSession.createDataFrame(losses, "epoch int, loss double, least double, variance double")

@@ -100,7 +100,7 @@ def fit(
 ) -> SetEmbedding:
     """Graph, landmark walks, embedding and set Gaussians from an edge list (or a graph) and a membership (set_id, gene).
 
-    `training` goes to the autoencoder (epochs, lr) or the joint trainer (tau, lambda_set, epochs, lr, batch_size).
+    `training` goes to the autoencoder (epochs, lr, batch_size) or the joint trainer (tau, lambda_set, epochs, lr, batch_size).
     """
     one_of(method, METHODS, "method")
     graph = edges if isinstance(edges, Graph) else build_graph(edges, node1, node2, weight, directed, nodes)
@@ -115,6 +115,6 @@ def fit(
     if method == "svd":
         embedding = svd_embedding(features, dim)
     else:
-        embedding, losses = autoencoder_embedding(features, dim, seed=seed, **training)
+        embedding, losses = autoencoder_embedding(features, dim, seed=seed, **{"epochs": 200, "lr": 5e-3, "batch_size": max(64, 4 * dim), **training})
     embedding = written(embedding, "embedding")
     return SetEmbedding(graph, method, embedding, written(set_gaussians(embedding, membership), "gaussians"), marks, losses)

@@ -225,6 +225,22 @@ def test_autoencoder_and_joint_training_learn(spark, model):
     assert loss[-1] < loss[0] and points.count() == 5 and {r["set_id"] for r in sets_fit.collect()} == {"S1", "S2"}
 
 
+def test_autoencoder_takes_a_step_for_each_batch(spark):
+    """On 3,000 rows the default epochs come close to the best linear code; one step an epoch stays far from it."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 4)) @ r.normal(size=(4, 16)) + r.normal(size=(3000, 16)) * 0.1 + 0.5
+    features = spark.createDataFrame([(f"N{i}", i, v.tolist()) for i, v in enumerate(x)], "node string, pos long, features array<double>")
+    embedding, losses = autoencoder_embedding(features, 4, lr=0.01)
+    z = np.array([row["vec"] for row in embedding.orderBy("pos").collect()])
+    centred = x - x.mean(0)
+    best = np.square(np.linalg.svd(centred, compute_uv=False)[4:]).sum() / x.size
+    code = np.c_[z, np.ones(len(z))]
+    decoded = code @ np.linalg.lstsq(code, x, rcond=None)[0]
+    assert np.square(decoded - x).mean() < 1.1 * best
+    last = losses.orderBy("epoch").collect()[-1]
+    assert last["loss"] < 1.1 * best and last["least"] == pytest.approx(best) and last["variance"] == pytest.approx(np.square(centred).mean())
+
+
 def test_svd_bounds(spark, model):
     with pytest.raises(ValueError, match="dim"):
         svd_embedding(diffusion.node_features(model.graph, model.marks), 3)
