@@ -60,14 +60,11 @@ def joint_fit(graph: Graph, membership: DataFrame, marks: DataFrame | None = Non
     state = written(_start(graph.nodes, dim, seed), "points")
     random = np.random.default_rng(seed)
     params = written(_set_start(sets.select(F.substring("col", 3, 1 << 20).alias("set_id")).distinct(), dim, seed), "sets")
-    n_sets, losses = params.count(), []
-    ranked = params.select("set_id").orderBy("set_id")
-    set_names = [r[0] for r in ranked.collect()] if n_sets <= 100_000 else None
+    losses = []
     for step in range(1, epochs + 1):
         own = sorted(random.choice(len(names), min(batch_size, len(names)), replace=False).tolist())
         own = [names[i] for i in own]
-        draw = F.xxhash64("set_id", F.lit(step), F.lit(seed))
-        chosen = [set_names[i] for i in sorted(random.choice(n_sets, min(batch_size, n_sets), replace=False).tolist())] if set_names else [r[0] for r in params.orderBy(draw).limit(batch_size).select("set_id").collect()]
+        chosen = _drawn(params, batch_size, step, seed)
         state, params, loss = _epoch(spark, state, params, spread, own, chosen, step, lr, tau, lambda_set, dim)
         losses.append((step, loss))
     points = state.select(F.col("node").alias("gene"), "pos", F.col("z").alias("vec"))
@@ -75,6 +72,12 @@ def joint_fit(graph: Graph, membership: DataFrame, marks: DataFrame | None = Non
     return points, gaussians, spark.createDataFrame(losses, "epoch int, loss double")
 
 
+def _drawn(params: DataFrame, batch_size: int, step: int, seed: int) -> list[str]:
+    """The sets of one epoch: those of lowest hash, whatever their number."""
+    draw = F.xxhash64("set_id", F.lit(step), F.lit(seed))
+    return [r[0] for r in params.orderBy(draw, "set_id").limit(batch_size).select("set_id").collect()]
+
+
 def _set_start(sets: DataFrame, dim: int, seed: int) -> DataFrame:
     started = _start(sets.select(F.col("set_id").alias("node"), F.lit(0).alias("pos")), dim, seed + 1)
     zeros = F.array_repeat(F.lit(0.0), dim)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netsets.functions.numbering import discoveries, with_numbers
-from netsets.operators import concise, diffusion, enrichment, gaussians, graph, similarity
+from netsets.operators import concise, diffusion, enrichment, gaussians, graph, joint, similarity
 from netsets.operators.embedding import autoencoder_embedding, svd_embedding
 from netsets.operators.joint import joint_fit
 from netsets.plans.model import SetEmbedding, fit
@@ -241,6 +241,18 @@ def test_autoencoder_takes_a_step_for_each_batch(spark):
     assert last["loss"] < 1.1 * best and last["least"] == pytest.approx(best) and last["variance"] == pytest.approx(np.square(centred).mean())
 
 
+def test_sets_are_drawn_by_hash_at_every_size(spark, model, monkeypatch):
+    """The sets of an epoch are those of lowest hash of their names, on small tables too."""
+    chosen = []
+    epoch = joint._epoch
+    monkeypatch.setattr(joint, "_epoch", lambda *a: chosen.append(a[5]) or epoch(*a))
+    many = spark.createDataFrame([(f"S{i}", g) for i in range(9) for g in ("A", "B")], "set_id string, gene string")
+    joint.joint_fit(model.graph, many, model.marks, dim=2, epochs=3, batch_size=2)
+    names = many.select("set_id").distinct()
+    want = [[r[0] for r in names.orderBy(F.xxhash64("set_id", F.lit(step), F.lit(1))).limit(2).collect()] for step in (1, 2, 3)]
+    assert chosen == want
+
+
 def test_svd_bounds(spark, model):
     with pytest.raises(ValueError, match="dim"):
         svd_embedding(diffusion.node_features(model.graph, model.marks), 3)
