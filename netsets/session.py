@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -41,11 +42,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` below the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write `df` below the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table is removed by discard(), or with the driver's end.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if not _paths:
+        atexit.register(_remove_all)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[path] = spark
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if _paths.pop(path, None) is not None:
+            _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_all() -> None:
+    """What this driver has written and not discarded; nothing where the session has ended already."""
+    for path, spark in list(_paths.items()):
+        if spark.sparkContext._jsc is None:
+            return
+        _remove(spark, path)
+
+
+_paths: dict[str, SparkSession] = {}
 
 
 def partitions(spark: SparkSession) -> int:
