@@ -10,22 +10,20 @@ from pyspark.sql import functions as F
 from netsets.llm import vectors
 from netsets.session import written
 
-#: How much lower than the k-th best a cosine by 8-bit vectors may be to go into the rerank (about five standard errors).
-MARGIN = 0.007
-
 
 def _best(k: int):
-    """Both directions of the pairs of a batch, each row's k best and what is within MARGIN of the k-th."""
+    """Both directions of the pairs of a batch: of each row what may be among its k best, as far as 16-bit cosines tell."""
 
     def keep(low: np.ndarray, high: np.ndarray, cos: np.ndarray, off: np.ndarray, threshold: float) -> pa.RecordBatch:
-        src, dst, c = np.r_[low, high], np.r_[high, low], np.r_[cos, cos]
-        order = np.lexsort((-c, src))
-        src, dst, c = src[order], dst[order], c[order]
+        src, dst, c, o = np.r_[low, high], np.r_[high, low], np.r_[cos, cos], np.r_[off, off]
+        order = np.lexsort((o - c, src))
+        src, dst, c, o = src[order], dst[order], c[order], o[order]
         starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
         sizes = np.diff(np.r_[starts, len(src)])
-        kth = np.where(sizes >= k, c[np.minimum(starts + k - 1, len(c) - 1)], -2)
-        near = c >= np.repeat(kth, sizes) - MARGIN
-        return pa.RecordBatch.from_arrays([pa.array(src[near]), pa.array(dst[near]), pa.array(c[near].astype(np.float32))], names=["src", "dst", "near"])
+        # k rows are surely at least as similar as the k-th best lower bound
+        kth = np.where(sizes >= k, (c - o)[np.minimum(starts + k - 1, len(c) - 1)], -2)
+        near = c + o >= np.repeat(kth, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (src, dst, c - o, c + o)], names=["src", "dst", "least", "most"])
 
     return keep
 
@@ -36,7 +34,8 @@ def nearest(rows: DataFrame, k: int = 5, threshold: float = 0.85) -> DataFrame:
     Only pairs with a cosine, rounded to 6 decimals, of at least `threshold` are given; equal values are ranked by the lower id.
     Unusable vectors (see vectors.usable) have no neighbours and are none; equal vectors under several ids are compared once and
     are each other's neighbours with cosine 1. Ids must be unique and not null (rows without an id are left out). Which pairs
-    meet in the index is a matter of accuracy: recall is measured in the tests, values of the pairs found are exact.
+    meet in the index is a matter of accuracy: recall is measured in the tests, values and ranks of the pairs found are exact, as
+    every pair whose 16-bit cosine and its largest error leave room for one of the k places is decided by the float vectors.
     """
     good = rows.select("kind", F.col("item_id").cast("long").alias("item_id"), "vec").where(vectors.usable(F.col("vec")) & F.col("item_id").isNotNull() & F.col("kind").isNotNull())
     distinct = written(vectors.distinct_vectors(good), "distinct-vectors")
@@ -47,11 +46,10 @@ def nearest(rows: DataFrame, k: int = 5, threshold: float = 0.85) -> DataFrame:
     members = written(good.select(*digests, "item_id").join(repeated, ["kind", "digest_1", "digest_2"]).select("head", "item_id"), "copies-of-vectors")
     lowest = members.withColumn("place", F.row_number().over(Window.partitionBy("head").orderBy("item_id"))).where(F.col("place") <= k + 1).select("head", F.col("item_id").alias("copy_id"))
     if codes:
-        met = vectors.meetings(distinct, codes, threshold, _best(k), "src long, dst long, near float")
-        by_near = Window.partitionBy("src").orderBy(F.col("near").desc())
-        ranked = met.withColumn("place", F.row_number().over(by_near))
-        kth = F.max(F.when(F.col("place") == k, F.col("near"))).over(Window.partitionBy("src"))
-        near = ranked.withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("near") >= F.col("kth") - MARGIN))
+        met = vectors.meetings(distinct, codes, threshold, _best(k), "src long, dst long, least double, most double")
+        ranked = met.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.col("least").desc())))
+        kth = F.max(F.when(F.col("place") == k, F.col("least"))).over(Window.partitionBy("src"))
+        near = ranked.withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("most") >= F.col("kth")))
         pairs = near.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     else:
         pairs = distinct.select(F.col("item_id").alias("a"), F.col("item_id").alias("b")).where("false")
