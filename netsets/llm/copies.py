@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netsets.functions.spread import spread_join
+from netsets.session import written
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -71,10 +74,10 @@ def records(rows: DataFrame, tree: Node, id_col: str) -> DataFrame:
 def copies(rows: DataFrame, tree: Node, id_col: str) -> DataFrame:
     """(first_id, id_col) of every row but the lowest id of its record.
 
-    Only records with copies go into the join; the join is on the digest with the canonical forms compared, and the rows of a
-    record with very many copies are split by adaptive skew handling (the record side has one row per record).
+    Only records with copies go into the join, which is on the digest and the canonical form; the rows of a record with very
+    many copies are spread over tasks by their ids.
     """
     known = with_digest(rows, tree, id_col).where(F.col(id_col).isNotNull())
-    repeated = records(rows, tree, id_col).where("copies > 1").select(F.col("_digest").alias("_d"), F.col("_canonical").alias("_c"), "first_id")
-    joined = known.join(repeated, (F.col("_digest") == F.col("_d")) & (F.col("_canonical") == F.col("_c")))
+    repeated = written(records(rows, tree, id_col).where("copies > 1").select("_digest", "_canonical", "first_id", "copies"), "repeated-records")
+    joined = spread_join(known, repeated, ["_digest", "_canonical"], "copies", [F.col(id_col)])
     return joined.where(F.col(id_col) > F.col("first_id")).select("first_id", id_col)

@@ -57,6 +57,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.similar_sets(_current(spark, sf_dir))
 
 
+def p3_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered rows of gene_sets, of any revision, and the current sets they are similar to."""
+    rows = table(spark, sf_dir, "gene_sets")
+    delivered = rows.select(F.col("row_id").alias("set_id"), F.coalesce(set_join.clean_members(F.col("gene_sets")), F.expr("array()").cast("array<string>")).alias("members"))
+    return set_join.similar_between(delivered, _current(spark, sf_dir)).select(F.col("left_id").cast("long").alias("row_id"), F.col("right_id").alias("set_id"))
+
+
 def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.current_sets(table(spark, sf_dir, "gene_sets"), "set_id", "gene_sets", "revision")
 
@@ -103,6 +110,12 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item_1").alias("gene_1"), F.col("item_2").alias("gene_2"), "n12", "n1", "n2", "expected", "p_value", "q_value")
 
 
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of genes in at least 8 sets, with the sets of both and of each."""
+    found = cooccurrence.frequent_pairs(_genes_in_sets(spark, sf_dir), 8)
+    return found.select(F.col("item_1").alias("gene_1"), F.col("item_2").alias("gene_2"), "n12", "n1", "n2")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of genes in at least 8 sets and at least four times as often together as by chance."""
     found = cooccurrence.surprising_pairs(_genes_in_sets(spark, sf_dir), 8)
@@ -138,5 +151,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_clusters, p1_found, p2_pairs, p2_found, p3_pairs, p3_found, p5_records, p5_found, p6_top, p6_found, p7_neighbours, p7_found, p8_ids, p9_packed, p9_found, p10_subjects, p10_found)
+    for f in (p1_clusters, p1_found, p2_pairs, p2_counts, p2_found, p3_pairs, p3_found, p3_between, p5_records, p5_found, p6_top, p6_found, p7_neighbours, p7_found, p8_ids, p9_packed, p9_found, p10_subjects, p10_found)
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netsets.functions.spread import hot_keys, spread_join
 from netsets.session import written
 
 LENGTHS = (1, 2, 3)
@@ -33,23 +34,28 @@ def current_sets(rows: DataFrame, set_id: str, values: str, revision: str) -> Da
 
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(class_id, members, copies) of the distinct non-empty member lists, and (set_id, class_id); the class is named by its lowest set id."""
-    known = sets.where(F.size("members") > 0).withColumn("digest", F.xxhash64("members"))
-    distinct = known.groupBy("digest", "members").agg(F.min("set_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    distinct = written(distinct.select("class_id", "digest", "members", "copies"), "set-classes")
+    """(class_id, members, copies, sides) of the distinct non-empty member lists, and (set_id, class_id); the class is named by its lowest set id.
+
+    `sides` holds the bits of the sets' `side` (3, both sides of a join, without such a column).
+    """
+    side = F.col("side") if "side" in sets.columns else F.lit(3)
+    known = sets.where(F.size("members") > 0).select("set_id", "members", side.alias("side"), F.xxhash64("members").alias("digest"))
+    distinct = known.groupBy("digest", "members").agg(F.min("set_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.bit_or("side").alias("sides"))
+    distinct = written(distinct.select("class_id", "digest", "members", "copies", "sides"), "set-classes")
     # a class of its own names itself; only classes with copies are joined back
     single = distinct.where("copies = 1").select(F.col("class_id").alias("set_id"), "class_id")
-    again = distinct.where("copies > 1").select(F.col("digest").alias("d"), F.col("members").alias("m"), "class_id")
-    many = known.join(again, (F.col("digest") == F.col("d")) & (F.col("members") == F.col("m"))).select("set_id", "class_id")
+    again = distinct.where("copies > 1").select("digest", "members", "class_id", "copies")
+    many = spread_join(known.select("set_id", "digest", "members"), again, ["digest", "members"], "copies", [F.col("set_id")]).select("set_id", "class_id")
     return distinct, single.unionByName(many)
 
 
 def _rare_first(distinct: DataFrame) -> DataFrame:
-    """(class_id, size, tokens): the members of each class from rare to frequent, ties in byte order."""
-    long = distinct.select("class_id", F.explode("members").alias("token"))
-    often = long.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    """(class_id, size, tokens, sides): the members of each class from rare to frequent, ties in byte order."""
+    long = distinct.select("class_id", "sides", F.explode("members").alias("token"))
+    often = written(long.groupBy("token").agg(F.count(F.lit(1)).alias("often"), F.count(F.lit(1)).alias("rows")), "token-counts")
     sorted_tokens = F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda s: s["token"])
-    return long.join(often, "token").groupBy("class_id").agg(sorted_tokens.alias("tokens")).withColumn("size", F.size("tokens"))
+    counted = spread_join(long, often, ["token"], "rows", [F.col("class_id")])
+    return counted.groupBy("class_id", "sides").agg(sorted_tokens.alias("tokens")).withColumn("size", F.size("tokens"))
 
 
 def _combinations(prefix: Column, length: int) -> Column:
@@ -74,7 +80,7 @@ def _bands(longest: int, num: int, den: int) -> list[tuple[int, int]]:
 
 
 def _keys(sets: DataFrame, bands: list[tuple[int, int]], lengths: list[int], num: int, den: int) -> DataFrame:
-    """(band, key, class_id, size, own): the keys of each class in its own band, where it may be the longer set, and in the next."""
+    """(band, key, class_id, size, sides, own): the keys of each class in its own band, where it may be the longer set, and in the next."""
     info = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(length).alias("length")) for (lo, hi), length in zip(bands, lengths)])
     own = sum((F.when(F.col("size") > hi, 1).otherwise(0) for _, hi in bands), F.lit(0))
     placed = sets.withColumn("own_band", own).withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") + 1))).where(F.col("band") < len(bands))
@@ -82,10 +88,10 @@ def _keys(sets: DataFrame, bands: list[tuple[int, int]], lengths: list[int], num
     least = F.ceil(F.greatest(F.col("size"), F.col("b.lo")) * num / F.lit(den).cast("double") - 1e-9).cast("int")
     placed = placed.withColumn("least", least).where("size >= least and least >= b.length")
     prefix = F.slice("tokens", 1, F.least(F.col("size"), F.col("size") - F.col("least") + F.col("b.length")))
-    placed = placed.select("band", "class_id", "size", (F.col("band") == F.col("own_band")).alias("own"), prefix.alias("prefix"), F.col("b.length").alias("length"))
+    placed = placed.select("band", "class_id", "size", "sides", (F.col("band") == F.col("own_band")).alias("own"), prefix.alias("prefix"), F.col("b.length").alias("length"))
     used = sorted(set(lengths))
     keys = F.coalesce(*[F.when(F.col("length") == n, _combinations(F.col("prefix"), n)) for n in used])
-    return placed.select("band", F.explode(keys).alias("key"), "class_id", "size", "own")
+    return placed.select("band", F.explode(keys).alias("key"), "class_id", "size", "sides", "own")
 
 
 def _choose(sets: DataFrame, bands: list[tuple[int, int]], num: int, den: int) -> list[int]:
@@ -105,17 +111,26 @@ def _choose(sets: DataFrame, bands: list[tuple[int, int]], num: int, den: int) -
 
 
 def similar_classes(distinct: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """(class_1, class_2, common, size_1, size_2) of all pairs of distinct sets with Jaccard similarity of at least num / den."""
+    """(class_1, class_2, common, size_1, size_2) of all pairs of distinct sets with Jaccard similarity of at least num / den.
+
+    A pair needs a set with bit 1 and one with bit 2 among the classes' `sides`.
+    """
     sets = written(_rare_first(distinct), "rare-first")
     longest = sets.agg(F.max("size")).first()[0] or 0
     bands = _bands(longest, num, den)
     if not bands:
         return sets.select(F.col("class_id").alias("class_1"), F.col("class_id").alias("class_2"), F.col("size").alias("common"), F.col("size").alias("size_1"), F.col("size").alias("size_2")).where("false")
     keys = written(_keys(sets, bands, _choose(sets, bands, num, den), num, den), "set-keys")
-    a = keys.where("own").select("band", "key", F.col("class_id").alias("class_a"), F.col("size").alias("size_a"))
-    b = keys.select("band", "key", F.col("class_id").alias("class_b"), F.col("size").alias("size_b"))
+    # the rows of a frequent key are spread over tasks: the longer sets by their hash, the shorter ones to all parts
+    hot = hot_keys(written(keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "key-counts"), ["band", "key"], "rows")
+    parts = F.coalesce(F.col("_salts"), F.lit(1))
+    marked = keys.join(hot, ["band", "key"], "left")
+    part = F.pmod(F.xxhash64("class_id"), parts).cast("int").alias("part")
+    a = marked.where("own").select("band", "key", part, F.col("class_id").alias("class_a"), F.col("size").alias("size_a"), F.col("sides").alias("sides_a"))
+    b = marked.select("band", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), F.col("sides").alias("sides_b"))
     shorter = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("class_b") < F.col("class_a")))
-    pairs = a.join(b, ["band", "key"]).where(shorter & (F.col("size_b") * den >= F.col("size_a") * num)).select("class_a", "class_b").distinct()
+    between = ((F.col("sides_a").bitwiseAND(1) > 0) & (F.col("sides_b").bitwiseAND(2) > 0)) | ((F.col("sides_a").bitwiseAND(2) > 0) & (F.col("sides_b").bitwiseAND(1) > 0))
+    pairs = a.join(b, ["band", "key", "part"]).where(shorter & between & (F.col("size_b") * den >= F.col("size_a") * num)).select("class_a", "class_b").distinct()
     with_a = pairs.join(sets.select(F.col("class_id").alias("class_a"), F.col("tokens").alias("tokens_a")), "class_a")
     both = with_a.join(sets.select(F.col("class_id").alias("class_b"), F.col("tokens").alias("tokens_b")), "class_b")
     both = both.select("class_a", "class_b", F.size("tokens_a").alias("size_a"), F.size("tokens_b").alias("size_b"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"))
@@ -144,3 +159,19 @@ def similar_sets(sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     between = pairs.join(one, "class_1").join(two, "class_2").select("x", "y")
     equal = one.join(two.withColumnRenamed("class_2", "class_1"), "class_1").where("x < y").select("x", "y")
     return between.unionByName(equal).select(F.least("x", "y").alias("set_id_1"), F.greatest("x", "y").alias("set_id_2"))
+
+
+def similar_between(left: DataFrame, right: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """(left_id, right_id): all pairs of a non-empty set of `left` and one of `right`, both (set_id, members), with Jaccard similarity of at least num / den.
+
+    Ids may be the same on both sides. Pairs within a side aren't made. Null and empty sets have no pairs; an empty side gives
+    no rows.
+    """
+    tagged = lambda sets, tag, side: sets.select(F.concat(F.lit(tag), F.col("set_id").cast("string")).alias("set_id"), "members", F.lit(side).alias("side"))
+    distinct, named = classes(tagged(left, "l", 1).unionByName(tagged(right, "r", 2)))
+    named = written(named, "set-names")
+    own = lambda tag, name: named.where(F.col("set_id").startswith(tag)).select("class_id", F.expr("substring(set_id, 2)").alias(name))
+    pairs = written(similar_classes(distinct, num, den).select("class_1", "class_2"), "class-pairs")
+    pairs = pairs.unionByName(pairs.select(F.col("class_2").alias("class_1"), F.col("class_1").alias("class_2")))
+    found = pairs.join(own("l", "left_id").withColumnRenamed("class_id", "class_1"), "class_1").join(own("r", "right_id").withColumnRenamed("class_id", "class_2"), "class_2")
+    return found.select("left_id", "right_id").unionByName(own("l", "left_id").join(own("r", "right_id"), "class_id").select("left_id", "right_id"))

@@ -18,8 +18,11 @@ _TOGETHER = _SETS + """, l as (select set_id, unnest(m) as gene from s), k as (s
 o as (select a.gene as gene_1, b.gene as gene_2, count(*) as n12 from l a join l b on a.set_id = b.set_id and a.gene < b.gene group by 1, 2 having count(*) >= 8)"""
 
 SQL = {
+    "p2_counts": _TOGETHER + " select gene_1, gene_2, n12, x.n as n1, y.n as n2 from o join k x on x.gene = gene_1 join k y on y.gene = gene_2",
     "p2_found": _TOGETHER + " select gene_1, gene_2 from o join k x on x.gene = gene_1 join k y on y.gene = gene_2 cross join t where n12 * t.n >= 4 * x.n * y.n",
     "p3_found": _PAIRS + " select x as set_id_1, y as set_id_2 from o join k kx on kx.set_id = x join k ky on ky.set_id = y where common * 5 >= 4 * (kx.n + ky.n - common)",
+    "p3_between": _SETS + """, l as (select row_id, unnest(m) as gene from c), r as (select set_id, unnest(m) as gene from s), kl as (select row_id, count(*) as n from l group by 1), kr as (select set_id, count(*) as n from r group by 1),
+o as (select row_id, set_id, count(*) as common from l join r using (gene) group by 1, 2) select row_id, set_id from o join kl using (row_id) join kr using (set_id) where common * 5 >= 4 * (kl.n + kr.n - common)""",
     "p5_records": _RECORDS + " select first_edge_id, count(*) as copies from g group by first_edge_id",
     "p5_found": _RECORDS + " select first_edge_id, edge_id from g where edge_id > first_edge_id",
     "p6_top": _TOP + " select set_id, gene, score, rank from r where rank <= n",

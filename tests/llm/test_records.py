@@ -77,3 +77,23 @@ def test_small_arrow_batches_carry_the_group_over(spark):
         assert [(r["gene"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(f"g{99 - i:03d}", i + 1) for i in range(30)]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_group_with_most_rows_and_a_limit_above_its_size(spark):
+    """Nine tenths of the rows are one group of which all is asked for: its ranks are put together from many parts."""
+    df = spark.range(4000).select(F.when(F.col("id") % 10 > 0, "huge").otherwise(F.concat(F.lit("s"), F.col("id") % 70)).alias("set_id"), F.concat(F.lit("g"), F.col("id")).alias("gene"), (F.col("id") * 7 % 101).cast("double").alias("score"))
+    limits = spark.createDataFrame([("huge", 10**6), ("s0", 3), ("s10", 1)], "set_id string, top_n int")
+    got = [tuple(r) for r in topn.top_n(df, limits, "set_id", "gene", "score", "top_n").collect()]
+    rows = [(("huge" if i % 10 else f"s{i % 70}"), f"g{i}", float(i * 7 % 101)) for i in range(4000)]
+    want = []
+    for group, n in (("huge", 10**6), ("s0", 3), ("s10", 1)):
+        want += [(*r, k + 1) for k, r in enumerate(sorted((r for r in rows if r[0] == group), key=lambda r: (-r[2], r[1]))[:n])]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_record_with_most_rows(spark):
+    tree = copies.Node((copies.Leaf(F.col("x")),))
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "same").otherwise(F.concat(F.lit("x"), F.col("id") % 900)).alias("x"), F.lit(1).alias("first_id"))
+    got = sorted(map(tuple, copies.copies(df, tree, "id").collect()))
+    want = [(1, i) for i in range(3000) if i % 3 and i > 1] + [(i % 900, i) for i in range(900, 3000, 3)]
+    assert got == sorted(want)

@@ -4,7 +4,9 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from netsets.llm import cooccurrence, set_join
 
@@ -19,9 +21,9 @@ def baskets(seed=1, n=60, heavy=0):
     return {k: v for k, v in out.items() if v}
 
 
-@pytest.mark.parametrize("heavy", [0, 2])
+@pytest.mark.parametrize("heavy", [0, 2, 12])
 def test_pair_counts(spark, monkeypatch, heavy):
-    monkeypatch.setattr(cooccurrence, "HEAVY", 40)
+    monkeypatch.setattr(cooccurrence, "BLOCK", 8)
     monkeypatch.setattr(cooccurrence, "CHUNK", 50)
     sets = baskets(heavy=heavy)
     rows = [(b, i, 1) for b, v in sets.items() for i in v] * 2 + [(None, "g1", 0), ("b1", None, 0)]
@@ -33,12 +35,31 @@ def test_pair_counts(spark, monkeypatch, heavy):
     assert cooccurrence.surprising_pairs(spark.createDataFrame([], MEMBERS), 4).collect() == []
 
 
-def test_the_null_honours_frequencies_and_sizes():
+def test_large_baskets(spark):
+    """Twenty baskets of 5,000 items, beside one item in every basket: all pairs come out with their counts."""
+    r = np.random.default_rng(4)
+    has = np.zeros((20, 6000), bool)
+    for b in range(20):
+        has[b, r.permutation(6000)[:5000]] = True
+    basket, item = np.nonzero(has)
+    members = spark.createDataFrame(pd.DataFrame({"basket": [f"b{i}" for i in basket], "item": [f"g{i:04d}" for i in item]}))
+    pairs, items = cooccurrence.pair_counts(members, 12)
+    both = np.triu(has.astype(int).T @ has, 1)
+    got = pairs.agg(F.count(F.lit(1)), F.sum("n12"), F.sum(F.col("n12") * F.col("n12"))).first()
+    assert tuple(got) == tuple(int((both[both >= 12] ** p).sum()) for p in (0, 1, 2))
+
+
+def test_the_null_honours_frequencies_and_sizes(monkeypatch):
     sets = baskets(3, 200)
     single, sizes = Counter(i for v in sets.values() for i in v), Counter(map(len, sets.values()))
-    d, k, m, p = cooccurrence.fit_null(dict(Counter(single.values())), dict(sizes))
-    items = np.array([Counter(single.values())[x] for x in d.tolist()])
-    assert (p * m).sum(1) == pytest.approx(d, rel=1e-4) and (p * items[:, None]).sum(0) == pytest.approx(k, rel=1e-4)
+    for held in (10, 10**6):
+        monkeypatch.setattr(cooccurrence, "HELD", held)
+        d, x, m, y = cooccurrence.fit_null(dict(Counter(single.values())), dict(sizes))
+        p = cooccurrence.probability(x, y)
+        items = np.array([Counter(single.values())[f] for f in d.tolist()])
+        assert (p * m).sum(1) == pytest.approx(d, rel=1e-4) and (p * items[:, None]).sum(0) == pytest.approx(sorted(sizes), rel=1e-4)
+    with pytest.warns(RuntimeWarning, match="still changes"):
+        cooccurrence.fit_null(dict(Counter(single.values())), dict(sizes), rounds=2)
 
 
 def test_tails_against_exact_convolution():
@@ -91,3 +112,24 @@ def test_current_rows_and_dirty_sets(spark):
     assert set_join.similar_sets(sets.where("false")).collect() == []
     distinct, named = set_join.classes(sets)
     assert {(r["class_id"], r["copies"]) for r in distinct.collect()} == {("a", 2), ("d", 1)} and named.count() == 3
+
+
+def test_similar_sets_between_two_tables(spark):
+    r = np.random.default_rng(5)
+    sides = ({}, {})
+    for g in range(60):
+        base = {f"T{int(x)}" for x in r.integers(0, 60 if g % 2 else 900, int(r.integers(1, 40)))}
+        for side in sides:
+            for c in range(int(r.integers(0, 4))):
+                side[f"s{g}-{c}"] = {x for x in base if r.random() > 0.05} | ({f"N{g}"} if r.random() < 0.3 else set())
+    frames = [spark.createDataFrame([(k, sorted(v), 5) for k, v in side.items()] + [("none", [], 5)], "set_id string, members array<string>, size int") for side in sides]
+    got = [tuple(x) for x in set_join.similar_between(*frames).collect()]
+    want = {(a, b) for a, x in sides[0].items() for b, y in sides[1].items() if x and y and 5 * len(x & y) >= 4 * len(x | y)}
+    assert len(got) == len(set(got)) and set(got) == want and any(sides[0][a] == sides[1][b] for a, b in want)
+    assert set_join.similar_between(frames[0], frames[1].where("false")).collect() == []
+
+
+def test_a_token_of_most_sets_is_spread(spark):
+    sets = {f"s{i}": {"all", f"a{i // 2}"} | {f"b{i // 2}-{k}" for k in range(3)} | ({f"c{i}"} if i % 2 else set()) for i in range(200)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "set_id string, members array<string>")
+    assert {tuple(x) for x in set_join.similar_sets(df).collect()} == brute(sets)
