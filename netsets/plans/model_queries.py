@@ -251,7 +251,7 @@ def _gsea(test=enrichment.gsea, data=prices, **how):
 def perm_null(spark, d):
     """Null scores of twenty permutations, by blocks."""
     genes = enrichment.overlap(prices(spark, d), vectors(spark, d))
-    nulls = enrichment.null_scores(_weights(spark, d), enrichment.permuted_stats(genes, 20), genes.count(), 10)
+    nulls = enrichment.null_scores(_weights(spark, d), genes, 20)
     return nulls.select("set_id", F.col("b").cast("int").alias("b"), r("null", 4, "null_score"))
 
 
@@ -265,6 +265,15 @@ def sweep_long(spark, d):
     return long.select("ID", "degree_beta", r("ES", 4), "setSize")
 
 
+def _sweep_tested(mode, data):
+    """Each beta's tests with twenty permutations."""
+    def query(spark, d):
+        long, _ = enrichment.sweep_hub_beta(data(spark, d), vectors(spark, d), fitted(spark, d), labels(spark, d), supply(spark, d), betas=(0, 0.5, 1), mode=mode, temperature=8.0, nperm=20, top_genes=0)
+        return long.select("ID", "degree_beta", r("ES", 4), r("z", 4), r("pvalue"), r("p_adjust"), "setSize")
+
+    return query
+
+
 # fits
 
 def fit_svd(spark, d):
@@ -310,5 +319,8 @@ QUERIES = {
     "gsea_greater": _gsea(nperm=20, alternative="greater"),
     "gsea_less": _gsea(nperm=20, alternative="less"),
     "gsea_1000": _gsea(nperm=1000),
+    "ora_tested": _gsea(enrichment.ora, large_parts, nperm=50),
+    "sweep_tested_gsea": _sweep_tested("gsea", prices),
+    "sweep_tested_ora": _sweep_tested("ora", large_parts),
     **{f.__name__: f for f in (perm_null, sweep_compare, sweep_long, fit_svd, fit_autoencoder, fit_joint, event_scores)},
 }

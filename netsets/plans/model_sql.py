@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from netsets.operators.permutation import MIX_1, MIX_2, ROUND_STEP, ROUNDS, SEED_STEP
+
 _V = "e as (select concat('P', vec_id) as gene, vec_id as pos, label, generate_subscripts(embedding, 1) - 1 as k, unnest(embedding)::double as x from embeddings)"
 _G = _V + """, g as (select label::varchar as set_id, k, avg(x) as mu, greatest(coalesce(var_samp(x), 1e-8), 1e-8) as v from e group by 1, 2)"""
 _SUPPLY = """raw as (select concat('P', l_partkey) as a, concat('S', l_suppkey) as b, sum(l_quantity) as w from lineitem group by 1, 2),
@@ -59,17 +61,48 @@ _UNIT = _V + ", u as (select gene, pos, k, x / greatest(sqrt(sum(x * x) over (pa
 _CONCISE = f"with {_G}, {_MEMBERS}, {_score('loglik')}, c as (select s.*, row_number() over (partition by set_id order by round(score, 9) desc, s.pos) as rank, count(*) over (partition by set_id) as n from s join m using (set_id, gene))"
 _KEPT = "least(greatest(k, 5), 500)"
 
-_P = """perm as (select b, gene, stat from (select b, gene, row_number() over (partition by b order by md5(concat_ws('|', '1', b::varchar, gene)), gene) as place from st, (select unnest(range(1, 21)) as b)) join
-(select stat, row_number() over (order by gene) as place from st) using (place)),
-es as (select set_id, sum(w.w * stat) as es from w join st using (gene) group by 1), nul as (select set_id, b, sum(w.w * stat) as v from w join perm using (gene) group by 1, 2),
+_LOW = 0xFFFFFFFF
+
+
+def _mixed(rows: str, name: str, value: str) -> str:
+    """`rows` with `name`, the 32-bit hash of `value`."""
+    rows = f"select *, ({value}) & {_LOW}::ubigint as x0 from ({rows})"
+    for k, step in enumerate(("xor(x0, x0 >> 16)", f"(x1 * {MIX_1}::ubigint) & {_LOW}::ubigint", "xor(x2, x2 >> 13)", f"(x3 * {MIX_2}::ubigint) & {_LOW}::ubigint", "xor(x4, x4 >> 16)")):
+        rows = f"select *, {step} as x{k + 1} from ({rows})"
+    return f"select * exclude (x0, x1, x2, x3, x4, x5), x5 as {name} from ({rows})"
+
+
+def _permuted(nperm: int, seed: int = 1) -> str:
+    """CTEs ending in perm (b, gene, stat): the statistics `st` dealt anew, as operators.permutation does it."""
+    keys = _mixed(f"select unnest(range(1, {nperm + 1}))::ubigint as b", "own", f"b + {seed * SEED_STEP & _LOW}::ubigint")
+    for t in range(ROUNDS):
+        keys = _mixed(keys, f"k{t}", f"own + {t * ROUND_STEP & _LOW}::ubigint")
+
+    def moved(rows: str) -> str:
+        """(b, i, v) with v permuted once."""
+        rows = f"select b, i, v // a as h, v % a as l, a, {', '.join(f'k{t}' for t in range(ROUNDS))} from ({rows}) join keys using (b) join size_of on true"
+        for t in range(ROUNDS):
+            rows = f"select * replace (l as h, (h + ((drawn * a) >> 32)) % a as l) from ({_mixed(rows, 'drawn', f'l + k{t}')})"
+            rows = f"select * exclude (drawn) from ({rows})"
+        return f"select b, i, h * a + l as v from ({rows})"
+
+    return f"""numbered as (select gene, stat, (row_number() over (order by gene) - 1)::ubigint as i from st), size_of as (select count(*)::ubigint as n, greatest(16, ceil(sqrt(count(*))))::ubigint as a from st),
+keys as ({keys}), walked as ({moved("select b, i, i as v from numbered, (select b from keys)")} union all {moved("select b, i, v from walked join size_of on v >= n")}),
+perm as (select b, g.gene, s.stat from walked join size_of on v < n join numbered g using (i) join numbered s on s.i = v)"""
+
+
+def _nulls(nperm: int) -> str:
+    return _permuted(nperm) + """, es as (select set_id, sum(w.w * stat) as es from w join st using (gene) group by 1), nul as (select set_id, b, sum(w.w * stat) as v from w join perm using (gene) group by 1, 2),
 mom as (select set_id, avg(v) as m, stddev_samp(v) as sd from nul group by 1)"""
+
+
 _CORE = "core as (select set_id, string_agg(gene, '/' order by rank) as core_enrichment from (select set_id, gene, row_number() over (partition by set_id order by round(w.w, 12) desc, pos) as rank from w) where rank <= 30 group by 1)"
 _SIZE = "size as (select set_id, count(*)::int as \"setSize\" from m join st using (gene) group by 1)"
 
 
-def _tested(beyond: str) -> str:
+def _tested(beyond: str, nperm: int = 20, weights: str = _W) -> str:
     return (
-        f"with {_W}, {_P}, {_CORE}, {_SIZE}, t as (select set_id, any_value(es) as es, (any_value(es) - any_value(m)) / greatest(any_value(sd), 1e-8) as z, greatest(avg(case when {beyond} then 1.0 else 0.0 end), 0.05) as p from nul join es using (set_id) join mom using (set_id) group by set_id),"
+        f"with recursive {weights}, {_nulls(nperm)}, {_CORE}, {_SIZE}, t as (select set_id, any_value(es) as es, (any_value(es) - any_value(m)) / greatest(any_value(sd), 1e-8) as z, greatest(avg(case when {beyond} then 1.0 else 0.0 end), 1.0 / {nperm}) as p from nul join es using (set_id) join mom using (set_id) group by set_id),"
         " ranked as (select *, row_number() over (order by p, set_id) as i, count(*) over () as n from t), adj_p as (select *, least(1.0, min(p * n / i) over (order by i desc rows unbounded preceding)) as q from ranked)"
         ' select set_id as "ID", round(es, 4) + 0.0 as "ES", round(z, 4) + 0.0 as z, round(p, 6) + 0.0 as pvalue, round(q, 6) + 0.0 as p_adjust, "setSize", core_enrichment from adj_p join size using (set_id) join core using (set_id)'
     )
@@ -82,6 +115,21 @@ def _plain(stats: str) -> str:
 
 _BETAS = f"with {_SUPPLY}, {_W}, {_DEGREE}, {_SIZE}, h as (select 0.0::double as beta, set_id, gene, w.w from w union all select 0.5, set_id, gene, w from ({_hub(0.5)}) union all select 1.0, set_id, gene, w from ({_hub(1.0)})), es as (select beta, set_id, sum(h.w * stat) as es from h join st using (gene) group by 1, 2)"
 
+_LABELS = _STATS.replace("p_retailprice as stat", "case when p_size > 25 then 1.0 else 0.0 end as stat")
+
+
+def _swept(stats: str, nperm: int = 20) -> str:
+    """All tests of a sweep over 0, 0.5 and 1, each beta's rates apart."""
+    start = _BETAS[: _BETAS.index(", es as")].replace(_STATS, stats).replace("with ", "with recursive ", 1)
+    return (
+        f"{start}, {_permuted(nperm)}, es as (select beta, set_id, sum(h.w * stat) as es from h join st using (gene) group by 1, 2), nul as (select beta, set_id, b, sum(h.w * stat) as v from h join perm using (gene) group by 1, 2, 3),"
+        " mom as (select beta, set_id, avg(v) as m, stddev_samp(v) as sd from nul group by 1, 2),"
+        f" t as (select beta, set_id, any_value(es) as es, (any_value(es) - any_value(m)) / greatest(any_value(sd), 1e-8) as z, greatest(avg(case when abs(v - m) >= abs(es - m) - 1e-9 then 1.0 else 0.0 end), 1.0 / {nperm}) as p from nul join es using (beta, set_id) join mom using (beta, set_id) group by 1, 2),"
+        " ranked as (select *, row_number() over (partition by beta order by p, set_id) as i, count(*) over (partition by beta) as n from t), adj_p as (select *, least(1.0, min(p * n / i) over (partition by beta order by i desc rows unbounded preceding)) as q from ranked)"
+        ' select set_id as "ID", beta as degree_beta, round(es, 4) + 0.0 as "ES", round(z, 4) + 0.0 as z, round(p, 6) + 0.0 as pvalue, round(q, 6) + 0.0 as p_adjust, "setSize" from adj_p join size using (set_id)'
+    )
+
+
 SQL = {
     "graph_undirected": f"with {_SUPPLY} select src, dst, w from adj where w <> 0",
     "graph_directed": f"with {_TRADE} select src, dst, w from adj",
@@ -116,11 +164,14 @@ SQL = {
     "soft_membership_restricted": f"with {_W_MEMBERS} select set_id, gene, round(w, 6) + 0.0 as w from w",
     "hub_weights": f"with {_SUPPLY}, {_W}, {_DEGREE}, h as ({_hub(0.5)}) select set_id, gene, round(w, 6) + 0.0 as w from h",
     "gsea_scores": _plain(_STATS),
-    "ora_scores": _plain(_STATS.replace("p_retailprice as stat", "case when p_size > 25 then 1.0 else 0.0 end as stat")),
-    "gsea_two_sided": _tested("abs(v - m) >= abs(es - m)"),
-    "gsea_greater": _tested("v >= es"),
-    "gsea_less": _tested("v <= es"),
-    "perm_null": f"with {_W}, {_P} select set_id, b::int as b, round(v, 4) + 0.0 as null_score from nul",
+    "ora_scores": _plain(_LABELS),
+    "gsea_two_sided": _tested("abs(v - m) >= abs(es - m) - 1e-9"),
+    "gsea_greater": _tested("v >= es - 1e-9"),
+    "gsea_less": _tested("v <= es + 1e-9"),
+    "gsea_1000": _tested("abs(v - m) >= abs(es - m) - 1e-9", 1000),
+    "ora_tested": _tested("abs(v - m) >= abs(es - m) - 1e-9", 50, _W.replace(_STATS, _LABELS)),
+    **{f"sweep_tested_{mode}": _swept(stats) for mode, stats in (("gsea", _STATS), ("ora", _LABELS))},
+    "perm_null": f"with recursive {_W}, {_nulls(20)} select set_id, b::int as b, round(v, 4) + 0.0 as null_score from nul",
     "sweep_long": _BETAS + ' select set_id as "ID", beta as degree_beta, round(es, 4) + 0.0 as "ES", "setSize" from es join size using (set_id)',
     "sweep_compare": _BETAS + """, p as (select set_id, max(es) filter (where beta = 0) as a, max(es) filter (where beta = 0.5) as b, max(es) filter (where beta = 1) as c from es group by 1)
 select set_id as "ID", round(a, 4) + 0.0 as "ES_beta_0", round(b, 4) + 0.0 as "ES_beta_0.5", round(c, 4) + 0.0 as "ES_beta_1", round(b - a, 4) + 0.0 as "deltaES_vs0_0.5", round(c - a, 4) + 0.0 as "deltaES_vs0_1" from p""",

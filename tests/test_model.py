@@ -170,7 +170,10 @@ def test_permutation_null(spark, model):
     by = dealt.groupBy("b").agg(F.array_sort(F.collect_list("stat")).alias("s")).select("s").distinct().collect()
     assert [r["s"] for r in by] == [sorted(v for _, v in STATS)]
     w = enrichment.soft_membership(model.embedding, model.gaussians, genes)
-    nulls = [r["null"] for r in enrichment.null_scores(w, dealt, 5, 2).where("set_id = 'S1'").collect()]
+    by_b = {r["b"]: r["null"] for r in enrichment.null_scores(w, genes, 200).where("set_id = 'S1'").collect()}
+    joined = {r["b"]: r["null"] for r in w.where("set_id = 'S1'").join(dealt, "gene").groupBy("b").agg(F.sum(F.col("w") * F.col("stat")).alias("null")).collect()}
+    assert by_b == pytest.approx(joined, abs=1e-12)
+    nulls = list(by_b.values())
     weights = {r["gene"]: r["w"] for r in w.where("set_id = 'S1'").collect()}
     assert sum(weights.values()) == pytest.approx(1)
     exact = [sum(weights[g] * v for g, v in zip("ABCDE", p)) for p in itertools.permutations([v for _, v in STATS])]
