@@ -1,15 +1,18 @@
 """Random walks with restart from seed distributions, and the features read from them.
 
-Two ways to the same fixed point. Where the number of edges is checked to be small, they are broadcast as arrays and the seed
-columns are spread over the tasks. Beyond that the walk is a join with the edges and a sum for each step, on tables that
-are written between steps.
+Two ways to the same fixed point, with one stopping rule. Where the number of edges is checked to be small, they are broadcast as
+arrays and the seed columns are spread over the tasks. Beyond that the edges lie in a grid of blocks by their ends, and the values
+of many columns move together: in each step the values of a block of nodes meet the cells of its column of the grid and are
+summed along the rows. Several steps are one plan, in which the edges are shuffled once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +20,14 @@ from pyspark.sql import functions as F
 from netsets.contracts import check, membership_contract, one_of, require
 from netsets.functions.numbering import with_numbers
 from netsets.operators.graph import Graph, landmarks, transition
-from netsets.session import written
+from netsets.session import discard, written
 
 #: Edges that may be broadcast to the tasks (16 bytes each).
 MAX_BROADCAST_EDGES = 4_000_000
+#: Steps between two looks at the change.
+EVERY = 5
+#: Edges of a cell of the grid, about, and columns that move together.
+CELL, COLUMNS = 500_000, 64
 
 
 def _normal_seeds(seeds: DataFrame) -> DataFrame:
@@ -37,77 +44,169 @@ def _share(p: DataFrame) -> DataFrame:
     return p.join(sums, "col").select("node", "col", (F.col("val") / F.col("mass")).alias("val"))
 
 
-def _step(edges: DataFrame, p: DataFrame, seeds: DataFrame, alpha: float) -> DataFrame:
-    moved = edges.join(p, edges["dst"] == p["node"]).select(F.col("src").alias("node"), "col", ((1 - alpha) * F.col("x") * F.col("val")).alias("val"))
-    return moved.unionByName(seeds.select("node", "col", (alpha * F.col("val")).alias("val"))).groupBy("node", "col").agg(F.sum("val").alias("val"))
-
-
-def _by_joins(edges: DataFrame, seeds: DataFrame, alpha: float, tol: float, max_iter: int, every: int) -> DataFrame:
-    edges, seeds = written(edges, "walk-edges"), written(seeds, "seeds")
-    p, done = seeds, 0
-    while done < max_iter:
-        ahead = min(every, max_iter - done)
-        before = p
-        for _ in range(ahead - 1):
-            before = _step(edges, before, seeds, alpha)
-        before = written(before, "walk")
-        p = written(_step(edges, before, seeds, alpha), "walk")
-        done += ahead
-        change = p.join(before.withColumnRenamed("val", "old"), ["node", "col"], "full").agg(F.sum(F.abs(F.coalesce("val", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        if (change or 0.0) < tol:
-            break
-    return p
-
-
-def _by_blocks(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float, tol: float, max_iter: int) -> DataFrame:
-    numbered = with_numbers(nodes.select("node"), ["node"], "walk-nodes")
-    src = numbered.select(F.col("node").alias("src"), F.col("number").alias("i"))
-    dst = numbered.select(F.col("node").alias("dst"), F.col("number").alias("j"))
-    coo = edges.join(src, "src").join(dst, "dst").select(F.col("i").cast("int"), F.col("j").cast("int"), "x").toArrow()  # at most MAX_BROADCAST_EDGES rows
-    n = numbered.count()
-    columns = seeds.join(numbered, "node").groupBy("col").agg(F.collect_list(F.struct("number", "val")).alias("seed")).cache()
-    stop = tol / max(1, columns.count())
+def _by_grid(edges: DataFrame, n: int, count: int, seeds: DataFrame, columns: int, alpha: float, stop: float, max_iter: int) -> DataFrame:
+    """(number, place, val): the walks of at most COLUMNS seed columns (number, place, val) over `count` edges (i, j, x)."""
+    side = min(max(2, ceil(sqrt(count / CELL))), max(n, 1))
+    size = ceil(n / side)
+    block = lambda c: F.floor(F.col(c) / size).cast("int")
+    at = lambda c: (F.col(c) % size).cast("int").alias(c)
+    cells = edges.select(block("i").alias("row"), block("j").alias("block"), F.struct(at("i"), at("j"), "x").alias("e")).groupBy("row", "block").agg(F.collect_list("e").alias("edges"))
+    cells = written(cells, "walk-cells")
+    live = np.arange(columns)  # the places of the columns that still walk
+
+    def dense(rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros((size, columns))
+        np.add.at(values, (rows["number"] % size, rows["place"]), rows["val"])
+        return pd.DataFrame({"block": [int(rows["number"].iloc[0] // size)], "values": [values.tobytes()]})
+
+    start = written(seeds.withColumn("block", block("number")).groupBy("block").applyInPandas(dense, "block int, values binary"), "walk-seeds")
+
+    def moved(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    e, values = batch.column("edges")[k].values, np.frombuffer(batch.column("values")[k].as_py()).reshape(size, width)
+                    i, j, x = (e.field(c).to_numpy() for c in ("i", "j", "x"))
+                    order = np.argsort(i, kind="stable")
+                    starts = np.flatnonzero(np.r_[True, np.diff(i[order]) > 0])
+                    sums = np.zeros((size, width))
+                    sums[i[order][starts]] = np.add.reduceat(values[j[order]] * x[order, None], starts, axis=0)
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(k, 1), pa.array([((1 - alpha) * sums).tobytes()], pa.binary()), pa.array(["sum"])], names=["block", "values", "what"])
+
+        return run
+
+    def added(width: int):
+        """The sum of a block's parts, and for each column how far it is from the block's values before."""
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            old = new = np.zeros(size * width)
+            for what, values in zip(rows["what"], rows["values"]):
+                own = np.frombuffer(values)
+                new = new + {"sum": 1.0, "seed": alpha, "old": 0.0}[what] * own
+                old = own if what == "old" else old
+            return pd.DataFrame({"block": rows["block"].iloc[:1], "values": [new.tobytes()], "change": [np.abs(new - old).reshape(size, width).sum(0).tobytes()]})
+
+        return run
+
+    def narrowed(table: DataFrame, width: int, kept: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [np.frombuffer(v).reshape(size, width)[:, kept].tobytes() for v in batch.column("values").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(own, pa.binary())], names=["block", "values"])
+
+        return table.select("block", "values").mapInArrow(run, "block int, values binary")
+
+    def listed(table: DataFrame, width: int, kept: np.ndarray, places: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for own, v in zip(batch.column("block").to_pylist(), batch.column("values").to_pylist()):
+                    values = np.frombuffer(v).reshape(size, width)[:, kept]
+                    row, k = np.nonzero(values)
+                    yield pa.RecordBatch.from_arrays([pa.array(own * size + row), pa.array(places[k].astype(np.int32)), pa.array(values[row, k])], names=["number", "place", "val"])
+
+        return table.select("block", "values").mapInArrow(run, "number long, place int, val double")
+
+    p, found, done = start, None, 0
+    while len(live):
+        steps = min(EVERY, max_iter - done)
+        new = p
+        for step in range(steps):
+            parts = cells.join(new.select("block", "values").hint("shuffle_hash"), "block").select("row", "edges", "values").mapInArrow(moved(len(live)), "block int, values binary, what string")
+            parts = parts.unionByName(start.select("block", "values", F.lit("seed").alias("what")))
+            if step == steps - 1:
+                parts = parts.unionByName(new.select("block", "values", F.lit("old").alias("what")))
+            new = parts.groupBy("block").applyInPandas(added(len(live)), "block int, values binary, change binary")
+        if steps:
+            new = written(new, "walk")
+            change = sum((np.frombuffer(r["change"]) for r in new.select("change").collect()), np.zeros(len(live)))  # one row per block
+        else:
+            change = np.full(len(live), np.inf)
+        done += steps
+        ended = np.flatnonzero((change < stop) | (done >= max_iter))
+        if len(ended):
+            out = written(listed(new, len(live), ended, live[ended]), "walked")
+            found = out if found is None else found.unionByName(out)
+            kept = np.setdiff1d(np.arange(len(live)), ended)
+            start, before = written(narrowed(start, len(live), kept), "walk-seeds"), start
+            new, last = written(narrowed(new, len(live), kept), "walk"), new
+            discard(before, last)
+            live = live[kept]
+        if p is not start:
+            discard(p)
+        p = new
+    discard(cells, p, start)
+    return found
+
+
+def _by_broadcast(edges: DataFrame, n: int, seeds: DataFrame, alpha: float, stop: float, max_iter: int) -> DataFrame:
+    """As _by_grid, any number of columns, with the edges broadcast."""
+    coo = edges.select(F.col("i").cast("int"), F.col("j").cast("int"), "x").toArrow()  # at most MAX_BROADCAST_EDGES rows
     shared = edges.sparkSession.sparkContext.broadcast(tuple(coo.column(k).to_numpy() for k in ("i", "j", "x")))
-    kind = seeds.schema["col"].dataType.simpleString()
+    columns = seeds.groupBy("place").agg(F.collect_list(F.struct("number", "val")).alias("seed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j, x = shared.value
         for batch in batches:
             for at in range(batch.num_rows):
                 start = batch.column("seed")[at].values
-                s = np.zeros(n)
-                np.add.at(s, start.field("number").to_numpy(), start.field("val").to_numpy())
+                s = np.bincount(start.field("number").to_numpy(), start.field("val").to_numpy(), n)
                 p = s
-                for _ in range(max_iter):
+                for step in range(1, max_iter + 1):
                     new = (1 - alpha) * np.bincount(i, x * p[j], n) + alpha * s
-                    moved, p = np.abs(new - p).sum(), new
-                    if moved < stop:
+                    ended = step % EVERY == 0 and np.abs(new - p).sum() < stop
+                    p = new
+                    if ended:
                         break
                 held = np.flatnonzero(p)
-                yield pa.RecordBatch.from_arrays([pa.array(held), batch.column("col").take(pa.array([at] * len(held))), pa.array(p[held])], names=["number", "col", "val"])
+                yield pa.RecordBatch.from_arrays([pa.array(held), batch.column("place").take(pa.array([at] * len(held))), pa.array(p[held])], names=["number", "place", "val"])
 
+    # places are 0, 1, ...: each task gets as many columns as any other
     tasks = edges.sparkSession.sparkContext.defaultParallelism
-    spread = columns.repartition(tasks, "col").mapInArrow(run, f"number long, col {kind}, val double")
-    return spread.join(numbered, "number").select("node", "col", "val")
+    return columns.repartitionByRange(tasks, "place").mapInArrow(run, "number long, place int, val double")
 
 
-def diffuse(graph: Graph, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-10, max_iter: int = 200, normalize: str = "col", method: str = "auto", every: int = 5) -> DataFrame:
+def _walk(edges: DataFrame, graph: Graph, seeds: DataFrame, alpha: float, tol: float, max_iter: int, method: str) -> DataFrame:
+    """(node, col, val) where the walks over (src, dst, x) from the columns (node, col, val) end, as they are."""
+    numbered = graph.nodes.select("node", F.col("pos").alias("number")) if graph.numbered else with_numbers(graph.nodes.select("node"), ["node"], "walk-nodes")
+    numbered = written(numbered.select("node", "number"), "numbered-nodes")
+    n = numbered.count()
+    src, dst = (numbered.select(F.col("node").alias(end), F.col("number").alias(k)) for end, k in (("src", "i"), ("dst", "j")))
+    edges = written(edges.join(src, "src").join(dst, "dst").select("i", "j", "x"), "walk-edges")
+    names = written(with_numbers(seeds.select("col").distinct(), ["col"], "columns").select("col", F.col("number").cast("int").alias("place")), "places")
+    placed = written(seeds.join(names, "col").join(numbered, "node").select("number", "place", F.col("val").cast("double").alias("val")), "seeds")
+    columns, count = names.count(), edges.count()
+    stop = tol / max(1, columns)
+    if method == "auto":
+        method = "blocks" if count <= MAX_BROADCAST_EDGES else "joins"
+    if method == "blocks" or not columns:
+        found = written(_by_broadcast(edges, n, placed, alpha, stop, max_iter), "walked")
+    else:
+        found = None
+        for first in range(0, columns, COLUMNS):
+            some = placed.where(F.col("place").between(first, first + COLUMNS - 1)).withColumn("place", F.col("place") - first)
+            own = _by_grid(edges, n, count, some, min(COLUMNS, columns - first), alpha, stop, max_iter).withColumn("place", F.col("place") + first)
+            found = own if found is None else found.unionByName(own)
+    return found.join(numbered, "number").join(names, "place").select("node", "col", "val")
+
+
+def diffuse(graph: Graph, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-10, max_iter: int = 200, normalize: str = "col", method: str = "auto") -> DataFrame:
     """(node, col, val): the distribution of a random walk with restart for each seed column of (node, col, val).
 
-    p <- (1 - alpha) W p + alpha s until a step changes less than `tol` in all, or `max_iter` steps (0: the normalised seed);
-    columns are scaled to sum 1 at the end, which also mends what leaks at isolated nodes. Seeds outside the graph are an
-    error, as is a column without positive mass. Only non-zero values come out. `method` is joins, blocks, or auto: blocks where
-    the graph has at most MAX_BROADCAST_EDGES edges. The joins look at the change every `every` steps.
+    p <- (1 - alpha) W p + alpha s until a step changes a column by less than its share of `tol`, tol / columns, or for `max_iter`
+    steps (0: the normalised seed); the change is looked at every EVERY steps, whatever the method. Columns are scaled to sum
+    1 at the end, which also mends what leaks at isolated nodes. Seeds outside the graph are an error, as is a column without
+    positive mass. Only non-zero values come out. `method` is joins (a grid of edge blocks), blocks (the edges broadcast), or
+    auto: blocks where the graph has at most MAX_BROADCAST_EDGES edges.
     """
-    one_of(method, ("auto", "joins", "blocks"), "method")
-    check(0 < alpha <= 1 and max_iter >= 0, "alpha must be in (0, 1] and max_iter not negative")
+    _check_walk(alpha, max_iter, method)
     seeds = written(_normal_seeds(seeds), "seeds")
     check(seeds.join(graph.nodes, "node", "left_anti").isEmpty(), "a seed is not a node of the graph")
-    edges = written(transition(graph, normalize), "transition")
-    if method == "auto":
-        method = "blocks" if edges.count() <= MAX_BROADCAST_EDGES else "joins"
-    p = _by_blocks(edges, graph.nodes, seeds, alpha, tol, max_iter) if method == "blocks" else _by_joins(edges, seeds, alpha, tol, max_iter, every)
-    return _share(p)
+    return _share(_walk(transition(graph, normalize), graph, seeds, alpha, tol, max_iter, method))
+
+
+def _check_walk(alpha: float, max_iter: int, method: str) -> None:
+    one_of(method, ("auto", "joins", "blocks"), "method")
+    check(0 < alpha <= 1 and max_iter >= 0, "alpha must be in (0, 1] and max_iter not negative")
 
 
 def random_walk(graph: Graph, seed: DataFrame, **how) -> DataFrame:
@@ -132,13 +231,22 @@ def set_seeds(graph: Graph, membership: DataFrame) -> DataFrame:
     return members.select("node", F.col("set_id").alias("col"), F.lit(1.0).alias("val"))
 
 
-def set_features(graph: Graph, membership: DataFrame, marks: DataFrame, **how) -> DataFrame:
-    """(set_id, features): the mass at each landmark of a walk from the set's members; null for a set without members in the graph."""
+def set_features(graph: Graph, membership: DataFrame, marks: DataFrame, alpha: float = 0.5, tol: float = 1e-10, max_iter: int = 200, normalize: str = "col", method: str = "auto") -> DataFrame:
+    """(set_id, features): the mass at each landmark of a walk from the set's members; null for a set without members in the graph.
+
+    The mass at a landmark of the walk from a seed is the seed's product with the reversed walk from the landmark, and its total
+    mass that with the reversed walk from all nodes. So one walk per landmark, and one more, serve any number of sets.
+    """
+    _check_walk(alpha, max_iter, method)
     marks = written(marks, "landmarks")
     check(marks.join(graph.nodes, marks["landmark"] == graph.nodes["node"], "left_anti").isEmpty(), "a landmark is not a node of the graph")
     sets = membership.select(F.col("set_id").cast("string").alias("set_id")).where("set_id is not null").distinct()
-    p = diffuse(graph, set_seeds(graph, membership), **how)
-    at = p.join(marks, p["node"] == marks["landmark"]).groupBy(F.col("col").alias("set_id")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "val"))).alias("m"))
-    seeded = p.select(F.col("col").alias("set_id")).distinct().join(at, "set_id", "left")
-    full = F.transform(F.sequence(F.lit(1), F.lit(marks.count())), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0.0)))
-    return sets.join(seeded.select("set_id", full.alias("features")), "set_id", "left")
+    reversed_edges = transition(graph, normalize).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "x")
+    starts = marks.select(F.col("landmark").alias("node"), F.col("rank").cast("int").alias("col"), F.lit(1.0).alias("val"))
+    ones = graph.nodes.select("node", F.lit(0).alias("col"), F.lit(1.0).alias("val"))
+    p = _walk(reversed_edges, graph, starts.unionByName(ones), alpha, tol, max_iter, method)
+    members = set_seeds(graph, membership).select("node", F.col("col").alias("set_id"))
+    sums = members.join(p, "node").groupBy("set_id", "col").agg(F.sum("val").alias("val"))
+    by_rank = sums.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "val"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(1), F.lit(marks.count())), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0.0)) / F.col("m")[0])
+    return sets.join(by_rank.select("set_id", full.alias("features")), "set_id", "left")

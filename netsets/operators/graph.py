@@ -13,10 +13,14 @@ from netsets.functions.numbering import with_numbers
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes(node, pos) and adjacency(src, dst, w) without zero weights; isolated nodes are in `nodes` alone."""
+    """nodes(node, pos) and adjacency(src, dst, w) without zero weights; isolated nodes are in `nodes` alone.
+
+    `numbered` tells that pos is 0, 1, 2, ... without gaps.
+    """
 
     nodes: DataFrame
     adjacency: DataFrame
+    numbered: bool = False
 
 
 def build_graph(edges: DataFrame, node1: str = "node1", node2: str = "node2", weight: str | None = None, directed: bool = False, nodes: list[str] | DataFrame | None = None) -> Graph:
@@ -43,7 +47,7 @@ def build_graph(edges: DataFrame, node1: str = "node1", node2: str = "node2", we
         used = used.join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
     if not directed:
         used = used.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w")
-    return Graph(known, used.groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w <> 0"))
+    return Graph(known, used.groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w <> 0"), not isinstance(nodes, DataFrame))
 
 
 def transition(graph: Graph, normalize: str = "col", eps: float = 1e-12) -> DataFrame:

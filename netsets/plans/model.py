@@ -71,13 +71,13 @@ class SetEmbedding:
             if df is not None:
                 df.write.parquet(os.path.join(path, name))
         spark = self.embedding.sparkSession
-        spark.createDataFrame([(json.dumps({"method": self.method, "losses": self.losses is not None}),)], "about string").coalesce(1).write.json(os.path.join(path, "about"))
+        spark.createDataFrame([(json.dumps({"method": self.method, "losses": self.losses is not None, "numbered": self.graph.numbered}),)], "about string").coalesce(1).write.json(os.path.join(path, "about"))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> SetEmbedding:
         about = json.loads(spark.read.json(os.path.join(path, "about")).first()["about"])
         t = {n: spark.read.parquet(os.path.join(path, n)) for n in _TABLES if n != "losses" or about["losses"]}
-        return SetEmbedding(Graph(t["nodes"], t["adjacency"]), about["method"], t["embedding"], t["gaussians"], t["marks"], t.get("losses"))
+        return SetEmbedding(Graph(t["nodes"], t["adjacency"], about["numbered"]), about["method"], t["embedding"], t["gaussians"], t["marks"], t.get("losses"))
 
 
 def fit(
@@ -104,7 +104,7 @@ def fit(
     """
     one_of(method, METHODS, "method")
     graph = edges if isinstance(edges, Graph) else build_graph(edges, node1, node2, weight, directed, nodes)
-    graph = Graph(written(graph.nodes, "nodes"), written(graph.adjacency, "adjacency"))
+    graph = Graph(written(graph.nodes, "nodes"), written(graph.adjacency, "adjacency"), graph.numbered)
     marks = written(landmarks(graph, k, seed=seed), "landmarks")
     walk = {"alpha": alpha, "tol": tol, "max_iter": max_iter, "normalize": normalize}
     if method == "joint":

@@ -36,13 +36,14 @@ def _walk(steps: int, seeds: str) -> str:
     """CTEs of so many steps from `seeds` (node, col, val), normalised at the end."""
     out = [f"seed as ({seeds})", "p0 as (select * from seed)"]
     for t in range(steps):
-        out.append(f"p{t + 1} as (select node, col, sum(val) as val from (select src as node, col, 0.5 * x * val as val from tr join p{t} on dst = node union all select node, col, 0.5 * val from seed) group by 1, 2)")
+        out.append(f"p{t + 1} as materialized (select node, col, sum(val) as val from (select src as node, col, 0.5 * x * val as val from tr join p{t} on dst = node union all select node, col, 0.5 * val from seed) group by 1, 2)")
     return ", ".join([*out, f"walk as (select node, col, val / sum(val) over (partition by col) as val from p{steps})"])
 
 
 _REGION_SEEDS = "select gene as node, set_id as col, 1.0 / count(*) over (partition by set_id) as val from (select n_nationkey::varchar as gene, n_regionkey::varchar as set_id from nation where n_nationkey::varchar in (select src from adj union select dst from adj))"
 _NODES = "nodes as (select node, row_number() over (order by node) as pos from (select src as node from adj union select dst from adj))"
 _MARKS = _NODES + ", marks as (select node as landmark, rank from (select node, row_number() over (order by coalesce(n, 0) desc, pos) as rank from nodes left join (select src, count(*) as n from adj group by 1) on src = node) where rank <= 4)"
+_MARKS_16 = _MARKS.replace("rank <= 4", "rank <= 16")
 _MARK_SEEDS = "select landmark as node, rank as col, 1.0 as val from marks"
 _FEATURES = f"with {_TRADE}, {_COL}, {_MARKS}, {_walk(5, _MARK_SEEDS)}, f as (select n.node, k.rank, coalesce(w.val, 0.0) as val from nodes n join marks k on true left join walk w on w.node = n.node and w.col = k.rank)"
 
@@ -145,6 +146,7 @@ SQL = {
     "walk_blocks": f"with {_TRADE}, {_COL}, {_walk(5, _REGION_SEEDS)} select node, col, round(val, 6) + 0.0 as val from walk",
     "node_features": _FEATURES + " select node, rank, round(val, 6) + 0.0 as val from f",
     "set_features": f"with {_TRADE}, {_COL}, {_MARKS}, {_walk(5, _REGION_SEEDS)}, sets as (select distinct col from seed) select s.col as set_id, k.rank, round(coalesce(w.val, 0.0), 6) + 0.0 as val from sets s join marks k on true left join walk w on w.col = s.col and w.node = k.landmark",
+    "walk_converged": f"with {_SUPPLY}, {_COL}, {_MARKS_16}, {_walk(45, _MARK_SEEDS)} select node, round(max(val), 6) + 0.0 as most, round(sum(val), 6) + 0.0 as mass from walk group by 1",
     "svd_gram": _FEATURES + ", c as (select node, rank, val - avg(val) over (partition by rank) as x from f) select a.node as gene_1, b.node as gene_2, round(sum(a.x * b.x), 8) + 0.0 as product from c a join c b using (rank) group by 1, 2",
     "set_gaussians": f"with {_G} select set_id, k, round(mu, 6) as mu, round(v, 6) as var from g",
     "gaussians_edge_cases": "select label::varchar as set_id, 1 as n, round(arg_min(embedding[1]::double, vec_id), 6) as mu_0, 1e-8 as var_0 from embeddings group by label union all select 'suppliers', 0, null, null",

@@ -60,6 +60,26 @@ def test_both_walks_reach_the_closed_form(spark, model):
     assert {r["node"]: r["val"] for r in zero.collect()} == {"C": 0.75, "A": 0.25}
 
 
+def test_both_walks_stop_alike(spark, monkeypatch):
+    """With a loose tolerance another number of steps would show; columns stop on their own, in groups and over several blocks."""
+    monkeypatch.setattr(diffusion, "COLUMNS", 4)
+    monkeypatch.setattr(diffusion, "CELL", 40)
+    r = np.random.default_rng(3)
+    g = graph.build_graph(edges(spark, [(f"n{a}", f"n{b}", float(w)) for a, b, w in zip(r.zipf(1.5, 300) % 40, r.integers(0, 40, 300), r.random(300) + 0.1)]), weight="weight")
+    seeds = g.nodes.select("node", (F.col("pos") % 6).alias("col"), (F.col("pos") + 1.0).alias("val"))
+    for how in ({"tol": 1e-3}, {"tol": 0.3, "alpha": 0.1}, {"tol": 0.0, "max_iter": 7}, {"max_iter": 0}):
+        one, two = ({(x["node"], x["col"]): x["val"] for x in diffusion.diffuse(g, seeds, method=m, **how).collect()} for m in ("joins", "blocks"))
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-14) for k in one)
+
+
+def test_set_features_equal_walks_from_the_sets(spark, model):
+    members = sets(spark, SETS + [("none", "Z", 0)])
+    for how in ({}, {"max_iter": 3, "tol": 0.0}, {"normalize": "row"}):
+        p = {(x["col"], x["node"]): x["val"] for x in diffusion.diffuse(model.graph, diffusion.set_seeds(model.graph, members), **how).collect()}
+        got = {x["set_id"]: x["features"] for x in diffusion.set_features(model.graph, members, model.marks, **how).collect()}
+        assert got["none"] is None and got["S1"] == pytest.approx([p["S1", "C"], p["S1", "A"]], abs=1e-9) and got["S2"] == pytest.approx([p["S2", "C"], p["S2", "A"]], abs=1e-9)
+
+
 def test_seed_errors(spark, model):
     with pytest.raises(ValueError, match="positive mass"):
         diffusion.random_walk(model.graph, spark.createDataFrame([("C", 0.0)], "node string, val double"))
