@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from netsets.contracts import check, membership_contract, one_of, require
 from netsets.functions.numbering import with_numbers
-from netsets.operators.graph import Graph, landmarks, transition
+from netsets.operators.graph import Graph, landmarks, settled, transition
 from netsets.session import discard, written
 
 #: Edges that may be broadcast to the tasks (16 bytes each).
@@ -141,18 +141,23 @@ def _by_grid(edges: DataFrame, n: int, count: int, seeds: DataFrame, columns: in
 def _by_broadcast(edges: DataFrame, n: int, seeds: DataFrame, alpha: float, stop: float, max_iter: int) -> DataFrame:
     """As _by_grid, any number of columns, with the edges broadcast."""
     coo = edges.select(F.col("i").cast("int"), F.col("j").cast("int"), "x").toArrow()  # at most MAX_BROADCAST_EDGES rows
-    shared = edges.sparkSession.sparkContext.broadcast(tuple(coo.column(k).to_numpy() for k in ("i", "j", "x")))
+    i, j, x = (coo.column(k).to_numpy() for k in ("i", "j", "x"))
+    order = np.argsort(i, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(i[order]) > 0][: len(i)])
+    shared = edges.sparkSession.sparkContext.broadcast((i[order][starts], starts, j[order], x[order]))
     columns = seeds.groupBy("place").agg(F.collect_list(F.struct("number", "val")).alias("seed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i, j, x = shared.value
+        rows, starts, j, x = shared.value
         for batch in batches:
             for at in range(batch.num_rows):
                 start = batch.column("seed")[at].values
                 s = np.bincount(start.field("number").to_numpy(), start.field("val").to_numpy(), n)
                 p = s
                 for step in range(1, max_iter + 1):
-                    new = (1 - alpha) * np.bincount(i, x * p[j], n) + alpha * s
+                    new = alpha * s
+                    if len(rows):
+                        new[rows] += (1 - alpha) * np.add.reduceat(x * p[j], starts)
                     ended = step % EVERY == 0 and np.abs(new - p).sum() < stop
                     p = new
                     if ended:
@@ -199,6 +204,7 @@ def diffuse(graph: Graph, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-
     auto: blocks where the graph has at most MAX_BROADCAST_EDGES edges.
     """
     _check_walk(alpha, max_iter, method)
+    graph = settled(graph)
     seeds = written(_normal_seeds(seeds), "seeds")
     check(seeds.join(graph.nodes, "node", "left_anti").isEmpty(), "a seed is not a node of the graph")
     return _share(_walk(transition(graph, normalize), graph, seeds, alpha, tol, max_iter, method))
@@ -216,6 +222,7 @@ def random_walk(graph: Graph, seed: DataFrame, **how) -> DataFrame:
 
 def node_features(graph: Graph, marks: DataFrame | None = None, k: int = 128, landmark_method: str = "degree", seed: int = 1, **how) -> DataFrame:
     """(node, pos, features): the walk's mass at each node from each landmark, in the landmarks' rank order; 0 where none arrives."""
+    graph = settled(graph)
     marks = written(marks if marks is not None else landmarks(graph, k, landmark_method, seed), "landmarks")
     check(marks.join(graph.nodes, marks["landmark"] == graph.nodes["node"], "left_anti").isEmpty(), "a landmark is not a node of the graph")
     p = diffuse(graph, marks.select(F.col("landmark").alias("node"), F.col("rank").alias("col"), F.lit(1.0).alias("val")), **how)
@@ -238,6 +245,7 @@ def set_features(graph: Graph, membership: DataFrame, marks: DataFrame, alpha: f
     mass that with the reversed walk from all nodes. So one walk per landmark, and one more, serve any number of sets.
     """
     _check_walk(alpha, max_iter, method)
+    graph = settled(graph)
     marks = written(marks, "landmarks")
     check(marks.join(graph.nodes, marks["landmark"] == graph.nodes["node"], "left_anti").isEmpty(), "a landmark is not a node of the graph")
     sets = membership.select(F.col("set_id").cast("string").alias("set_id")).where("set_id is not null").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netsets.contracts import check, one_of, require
 from netsets.functions.numbering import with_numbers
+from netsets.session import written
 
 
 @dataclass(frozen=True)
@@ -45,9 +46,22 @@ def build_graph(edges: DataFrame, node1: str = "node1", node2: str = "node2", we
     used = rows.where("src is not null and dst is not null and w <> 0")
     if nodes is not None:
         used = used.join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
-    if not directed:
-        used = used.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w")
-    return Graph(known, used.groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w <> 0"), not isinstance(nodes, DataFrame))
+    if directed:
+        adjacency = used.groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w <> 0")
+    else:
+        # each pair is summed once and then given in both directions
+        pairs = used.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w")).where("w <> 0")
+        way = lambda src, dst, w: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), w.alias("w"))
+        both = F.when(F.col("a") == F.col("b"), F.array(way("a", "b", 2 * F.col("w")))).otherwise(F.array(way("a", "b", F.col("w")), way("b", "a", F.col("w"))))
+        adjacency = pairs.select(F.explode(both).alias("e")).select("e.*")
+    return Graph(known, adjacency, not isinstance(nodes, DataFrame))
+
+
+def settled(graph: Graph) -> Graph:
+    """The graph with its adjacency written, so that it is made once."""
+    if getattr(graph.adjacency, "_written_at", None):
+        return graph
+    return Graph(graph.nodes, written(graph.adjacency, "adjacency"), graph.numbered)
 
 
 def transition(graph: Graph, normalize: str = "col", eps: float = 1e-12) -> DataFrame:
