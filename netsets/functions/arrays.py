@@ -10,20 +10,6 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: x * y))
-
-
-def norm(a: Column, eps: float = 0.0) -> Column:
-    """The length of a vector, at least eps."""
-    return F.greatest(F.sqrt(total(F.transform(a, lambda x: x * x))), F.lit(eps))
-
-
-def unit(a: Column, eps: float = 1e-12) -> Column:
-    """The vector divided by its length, which counts as eps at least: a zero vector stays zero."""
-    return F.transform(a, lambda x: x / norm(a, eps))
-
-
 def floored(a: Column, eps: float) -> Column:
     return F.transform(a, lambda x: F.greatest(x, F.lit(eps)))
 

@@ -60,7 +60,7 @@ def concise_sets(
     """
     one_of(select, MODES, "select")
     check(0 < mass <= 1 and temperature > 0, "mass must be in (0, 1] and temperature positive")
-    check(0 <= quantile <= 1, "quantile must be in [0, 1]")
+    check(0 < quantile < 1, "quantile must be above 0 and below 1")
     check(select != "score_threshold" or score_threshold is not None, "score_threshold is missing")
     check(top_n >= 0 and min_size >= 0 and max_size >= 0, "sizes must not be negative")
     restricted = membership is not None and restrict_to_members

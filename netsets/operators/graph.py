@@ -57,6 +57,26 @@ def build_graph(edges: DataFrame, node1: str = "node1", node2: str = "node2", we
     return Graph(known, adjacency, not isinstance(nodes, DataFrame))
 
 
+def from_adjacency(adjacency: DataFrame, nodes: DataFrame | None = None) -> Graph:
+    """A graph from a weighted adjacency (src, dst, w), taken as it is: each row is one direction of an edge.
+
+    ValueError for a null end, a null, negative, NaN or infinite weight, an edge listed twice, or an end that is not among the
+    given `nodes` (node, pos). Zero weights are dropped, their ends stay as nodes.
+    """
+    slim = require(adjacency, "src", "dst", "w")
+    rows = written(slim.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("w").cast("double").alias("w")), "adjacency")
+    check(rows.where("src is null or dst is null").isEmpty(), "an edge has a null end")
+    check(rows.where("w is null or isnan(w) or w < 0 or w = double('inf')").isEmpty(), "weights must be finite and not negative")
+    check(rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty(), "an edge is listed twice")
+    ends = rows.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    if nodes is None:
+        known = with_numbers(ends, ["node"], "nodes").withColumnRenamed("number", "pos")
+    else:
+        known = require(nodes, "node", "pos")
+        check(ends.join(known, "node", "left_anti").isEmpty(), "an end of an edge is not among the nodes")
+    return Graph(known, rows.where("w <> 0"), nodes is None)
+
+
 def settled(graph: Graph) -> Graph:
     """The graph with its adjacency written, so that it is made once."""
     if getattr(graph.adjacency, "_written_at", None):

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsets.contracts import check
+from netsets.functions.batches import matrix
 from netsets.operators.diffusion import diffuse, set_seeds
-from netsets.operators.embedding import matrix
 from netsets.operators.graph import Graph, landmarks
-from netsets.session import written
+from netsets.session import discard, written
 
 
 def _logits(z: np.ndarray, points: np.ndarray, mu: np.ndarray, logvar: np.ndarray, tau: float) -> np.ndarray:
@@ -46,8 +46,9 @@ def _start(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
 def joint_fit(graph: Graph, membership: DataFrame, marks: DataFrame | None = None, k: int = 128, dim: int = 64, tau: float = 1.0, lambda_set: float = 1.0, epochs: int = 200, lr: float = 5e-3, batch_size: int = 8, seed: int = 1, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(gene, pos, vec), (set_id, mu, var) and (epoch, loss).
 
-    Every epoch takes `batch_size` landmarks and sets, drawn by the seed. Sets without members in the graph are dropped. The
-    result depends on the seed alone.
+    Every epoch takes `batch_size` landmarks and sets, drawn by the seed, and one Adam step of all points and sets: what isn't drawn
+    has a gradient of 0 and moves by its momentum. Sets without members in the graph are dropped. The result depends on the
+    seed alone.
     """
     check(tau > 0 and lambda_set >= 0 and batch_size >= 1 and epochs >= 0, "tau and batch_size must be positive")
     spark = graph.nodes.sparkSession
@@ -65,7 +66,9 @@ def joint_fit(graph: Graph, membership: DataFrame, marks: DataFrame | None = Non
         own = sorted(random.choice(len(names), min(batch_size, len(names)), replace=False).tolist())
         own = [names[i] for i in own]
         chosen = _drawn(params, batch_size, step, seed)
+        before = (state, params)
         state, params, loss = _epoch(spark, state, params, spread, own, chosen, step, lr, tau, lambda_set, dim)
+        discard(*before)
         losses.append((step, loss))
     points = state.select(F.col("node").alias("gene"), "pos", F.col("z").alias("vec"))
     gaussians = params.select("set_id", "mu", F.transform("logvar", F.exp).alias("var"))
@@ -81,7 +84,7 @@ def _drawn(params: DataFrame, batch_size: int, step: int, seed: int) -> list[str
 def _set_start(sets: DataFrame, dim: int, seed: int) -> DataFrame:
     started = _start(sets.select(F.col("set_id").alias("node"), F.lit(0).alias("pos")), dim, seed + 1)
     zeros = F.array_repeat(F.lit(0.0), dim)
-    return started.select(F.col("node").alias("set_id"), F.col("z").alias("mu"), F.array_repeat(F.lit(-2.0), dim).alias("logvar"), *[zeros.alias(c) for c in ("mean_mu", "square_mu", "mean_lv", "square_lv")], F.lit(0).alias("steps"))
+    return started.select(F.col("node").alias("set_id"), F.col("z").alias("mu"), F.array_repeat(F.lit(-2.0), dim).alias("logvar"), *[zeros.alias(c) for c in ("mean_mu", "square_mu", "mean_lv", "square_lv")])
 
 
 def _epoch(spark, state, params, spread, own, chosen, step, lr, tau, lambda_set, dim):
@@ -156,13 +159,18 @@ def _epoch(spark, state, params, spread, own, chosen, step, lr, tau, lambda_set,
 
     kinds = dict(batch_rows.dtypes)
     state = written(batch_rows.mapInArrow(moved, f"node {kinds['node']}, pos {kinds['pos']}, z array<double>, mean array<double>, square array<double>"), "points")
-    updated = []
-    for s, name in enumerate(chosen):
-        r = rows[name]
-        mu_new = _adam(mu[s], to_mu[s], np.array(r["mean_mu"]), np.array(r["square_mu"]), r["steps"] + 1, lr)
-        lv_new = _adam(logvar[s], to_logvar[s], np.array(r["mean_lv"]), np.array(r["square_lv"]), r["steps"] + 1, lr)
-        updated.append((name, mu_new[0].tolist(), lv_new[0].tolist(), mu_new[1].tolist(), mu_new[2].tolist(), lv_new[1].tolist(), lv_new[2].tolist(), r["steps"] + 1))
-    if updated:
-        new = spark.createDataFrame(updated, params.schema)
-        params = written(params.join(new.select("set_id"), "set_id", "left_anti").unionByName(new), "sets")
-    return state, params, float(total[-1])
+    discard(batch_rows)
+    drawn = spark.createDataFrame([(s, to_mu[k].tolist(), to_logvar[k].tolist()) for k, s in enumerate(chosen)], "set_id string, to_mu array<double>, to_logvar array<double>")
+    return state, written(_stepped(params, drawn, step, lr, dim), "sets"), float(total[-1])
+
+
+def _stepped(params: DataFrame, drawn: DataFrame, step: int, lr: float, dim: int) -> DataFrame:
+    """All sets after the epoch's Adam step; those that weren't drawn have a gradient of 0 and move by their momentum."""
+    rows = params.join(F.broadcast(drawn), "set_id", "left")  # at most batch_size rows
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    for value, grad, mean, square in (("mu", "to_mu", "mean_mu", "square_mu"), ("logvar", "to_logvar", "mean_lv", "square_lv")):
+        g = F.coalesce(grad, zeros)
+        rows = rows.withColumn(mean, F.zip_with(mean, g, lambda m, x: 0.9 * m + 0.1 * x)).withColumn(square, F.zip_with(square, g, lambda s, x: 0.999 * s + 0.001 * x * x))
+        move = F.zip_with(mean, square, lambda m, s: lr * (m / (1 - 0.9**step)) / (F.sqrt(s / (1 - 0.999**step)) + 1e-8))
+        rows = rows.withColumn(value, F.zip_with(value, move, lambda v, d: v - d))
+    return rows.select(params.columns)

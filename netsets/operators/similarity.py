@@ -1,15 +1,16 @@
 """Similarities of genes and distances of sets, in blocks.
 
 Every row of the left table against every row of the right one is what these operators are asked for. Both sides are packed into
-blocks of a bounded number of rows by a hash of their ids; a left block is sent to each right block by an equi-join on the
-block's number, and a task works on one pair of blocks at a time with matrix products. Limits per row (`top`) and thresholds are
-applied in the block, so only what is wanted leaves it.
+blocks of a bounded number of rows by a hash of their ids. Blocks meet on a grid with as many cells as tasks are wanted: a left
+block goes to the cells of its row and a right block to those of its column, so a vector is copied about as often as the root of
+the number of tasks. A cell multiplies its blocks one pair at a time. Limits per row (`top`) are applied in the product, so only
+what is wanted leaves it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsets.contracts import check, embedding_contract, gaussian_contract, one_of, require, width
-from netsets.session import written
+from netsets.functions.batches import mapped, summed
+from netsets.session import partitions, written
 
-#: Rows of a block, about.
-BLOCK = 512
+#: Rows of a block that one product takes, at most about, and right blocks that a cell holds.
+BLOCK, CELL_BLOCKS = 512, 512
 METRICS = ("w2", "sym_kl", "sym_kl_compat")
 
 
@@ -79,28 +81,44 @@ def pairwise(left: DataFrame, right: DataFrame, arrays_left: list[str], arrays_r
     left = written(left, "left")
     right = left if same else written(right, "right")
     n_left, n_right = (max(1, ceil(x.count() / block)) for x in (left, right))
-    a, b = _packed(left, arrays_left, "left", n_left), _packed(right, arrays_right, "right", n_right)
-    pairs = a.withColumn("block_right", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).join(b, "block_right").select("left", "right")
-    # pairs of blocks are few and heavy: spread them evenly
-    pairs = pairs.repartition(min(n_left * n_right, 4 * max(left.sparkSession.sparkContext.defaultParallelism, n_left)))
+    tasks = 4 * max(partitions(left.sparkSession), left.sparkSession.sparkContext.defaultParallelism)
+    down = min(n_left, max(1, ceil(sqrt(tasks * n_left / n_right))))
+    across = min(n_right, max(ceil(tasks / down), ceil(n_right / CELL_BLOCKS)))
     function = KERNELS[kernel]
+    a = _packed(left, arrays_left, "left", n_left).select((F.col("block_left") % down).alias("row"), F.col("left").alias("one"), F.lit(None).cast("int").alias("column"))
+    b = _packed(right, arrays_right, "right", n_right).select((F.col("block_right") % across).alias("column"), F.col("right").alias("two"))
+    a = a.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    b = b.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    cells = a.select("row", "column", "one", F.lit(None).cast(b.schema["two"].dataType).alias("two")).unionByName(b.select("row", "column", F.lit(None).cast(a.schema["one"].dataType).alias("one"), "two"))
+    # a cell's right blocks come first and are held (its column's share of one side); the left blocks stream by
+    cells = cells.repartition(down * across, "row", "column").sortWithinPartitions("row", "column", F.col("two").isNull())
 
     def arrays_of(packed: pa.Array, names: list[str]) -> list[np.ndarray]:
         return [packed.field(n).flatten().to_numpy().reshape(len(packed), -1) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for batch in batches:
+            rows, columns = batch.column("row").to_pylist(), batch.column("column").to_pylist()
             for r in range(batch.num_rows):
-                one, two = batch.column("left")[r].values, batch.column("right")[r].values
-                value = function(arrays_of(one, arrays_left), arrays_of(two, arrays_right), eps)
-                if top is not None and top < value.shape[1]:
-                    kth = np.partition(value if lowest else -value, top - 1, axis=1)[:, top - 1, None]
-                    i, j = np.nonzero((value if lowest else -value) <= kth + 1e-9)
-                else:
-                    i, j = (x.ravel() for x in np.indices(value.shape))
-                yield pa.RecordBatch.from_arrays([one.field("id").take(pa.array(i)), two.field("id").take(pa.array(j)), pa.array(value[i, j])], names=["id_1", "id_2", "value"])
-
-    return pairs.mapInArrow(run, "id_1 string, id_2 string, value double")
+                if (rows[r], columns[r]) != cell:
+                    cell, held = (rows[r], columns[r]), []
+                if batch.column("two")[r].is_valid:
+                    two = batch.column("two")[r].values
+                    held.append((two.field("id"), arrays_of(two, arrays_right)))
+                    continue
+                one = batch.column("one")[r].values
+                own = arrays_of(one, arrays_left)
+                for ids, other in held:
+                    value = function(own, other, eps)
+                    if top is not None and top < value.shape[1]:
+                        kth = np.partition(value if lowest else -value, top - 1, axis=1)[:, top - 1, None]
+                        i, j = np.nonzero((value if lowest else -value) <= kth + 1e-9)
+                    else:
+                        i, j = (x.ravel() for x in np.indices(value.shape))
+                    yield pa.RecordBatch.from_arrays([one.field("id").take(pa.array(i)), ids.take(pa.array(j)), pa.array(value[i, j])], names=["id_1", "id_2", "value"])
+
+    return cells.mapInArrow(run, "id_1 string, id_2 string, value double")
 
 
 def _chosen(rows: DataFrame, ids: list[str] | None, what: str) -> DataFrame:
@@ -142,6 +160,19 @@ def cosine_top(embedding: DataFrame, k: int = 10, genes: list[str] | None = None
     return ranked.select(F.col("id_1").alias("gene_1"), F.col("id_2").alias("gene_2"), F.col("value").alias("similarity"), "rank")
 
 
+def mean_cosine(embedding: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """(gene, mean, n): each gene's mean similarity to all genes, itself included, by the product with the mean of the unit vectors."""
+    rows = written(embedding_contract(embedding).select("gene", "vec"), "embedding")
+    width(rows, "vec")
+    n = rows.count()
+    if not n:
+        return rows.select("gene", F.lit(0.0).alias("mean"), F.lit(0).cast("long").alias("n"))
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), eps)
+    centre = summed(rows, "vec", lambda x: unit(x).sum(0)) / n  # one vector
+    means = mapped(rows, "vec", "mean", lambda x: (unit(x) @ centre)[:, None])
+    return means.select("gene", F.col("mean")[0].alias("mean"), F.lit(n).cast("long").alias("n"))
+
+
 def set_distance(gaussians: DataFrame, other: DataFrame | None = None, sets: list[str] | None = None, other_sets: list[str] | None = None, metric: str = "w2", eps: float = 1e-8) -> DataFrame:
     """(set_1, set_2, distance) of all pairs, or of the requested ones; sets without a Gaussian are left out.
 
@@ -158,6 +189,15 @@ def set_distance(gaussians: DataFrame, other: DataFrame | None = None, sets: lis
     return pairwise(one, two, ["mu", "var"], ["mu", "var"], metric, eps).select(F.col("id_1").alias("set_1"), F.col("id_2").alias("set_2"), F.col("value").alias("distance"))
 
 
+def closest_sets(gaussians: DataFrame, k: int = 10, metric: str = "w2", eps: float = 1e-8) -> DataFrame:
+    """(set_1, set_2, distance, rank): the k closest other sets of each set, ties (to 9 decimals) by id."""
+    one_of(metric, METRICS, "metric")
+    rows = gaussian_contract(gaussians).where("mu is not null and var is not null").select(F.col("set_id").alias("id"), "mu", "var")
+    near = pairwise(rows, rows, ["mu", "var"], ["mu", "var"], metric, eps, top=k + 1, lowest=True).where("id_1 <> id_2")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("id_1").orderBy(F.round("value", 9), "id_2"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("id_1").alias("set_1"), F.col("id_2").alias("set_2"), F.col("value").alias("distance"), "rank")
+
+
 def as_embedding(wide: DataFrame, id_col: str, columns: list[str] | None = None) -> DataFrame:
     """(gene, vec) from a table with one numeric column per dimension; ValueError where a column is missing or not numeric."""
     columns = columns or [c for c in wide.columns if c != id_col]

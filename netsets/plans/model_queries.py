@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from netsets.operators import concise, diffusion, enrichment, gaussians, graph, similarity
 from netsets.operators.embedding import autoencoder_embedding, svd_embedding
-from netsets.plans.model import fit
-from netsets.sources.tables import folded, table
+from netsets.plans.model import SetEmbedding, fit
+from netsets.sources.tables import table
 from netsets.streaming.scoring import stream_scores
 
 
@@ -176,13 +176,28 @@ def cosine_top(spark, d):
 
 
 def cosine_subset(spark, d):
-    few = [f"P{i}" for i in range(1, 31)]
-    return similarity.cosine(vectors(spark, d), genes=few, other_genes=few[10:] + ["P41", "unknown", "P41"]).select("gene_1", "gene_2", r("similarity"))
+    """The entities of label 0 against those of labels 1 and 2, one of them asked for twice, beside an unknown one."""
+    of = lambda *which: [x["gene"] for x in labels(spark, d).where(F.col("set_id").isin(*which)).select("gene").collect()]
+    return similarity.cosine(vectors(spark, d), genes=of("0"), other_genes=of("1", "2") + of("1")[:1] + ["unknown"]).select("gene_1", "gene_2", r("similarity"))
 
 
 def cosine_mean(spark, d):
     """Each entity's mean similarity to all."""
-    return similarity.cosine(vectors(spark, d)).groupBy("gene_1").agg(F.avg("similarity").alias("mean"), F.count(F.lit(1)).alias("n")).select("gene_1", r("mean"), "n")
+    return similarity.mean_cosine(vectors(spark, d)).select(F.col("gene").alias("gene_1"), r("mean"), "n")
+
+
+def all_similarities(spark, d):
+    """The three tables of similarities of a fitted model, one below the other."""
+    m = SetEmbedding(trade(spark, d), "svd", vectors(spark, d), fitted(spark, d), vectors(spark, d))
+    parts = [t.toDF("id_1", "id_2", "value").withColumn("what", F.lit(what)) for what, t in m.all_similarities().items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("what", "id_1", "id_2", r("value", 4))
+
+
+def wide_embedding(spark, d):
+    """A table with a column for each dimension as an embedding: the squared length of each vector."""
+    wide = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(f"d{i}") for i in range(8)])
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    return similarity.as_embedding(wide, "vec_id").select("gene", square.alias("square")).select("gene", r("square"))
 
 
 def _distance(metric):
@@ -198,11 +213,15 @@ def closest_sets(spark, d):
     return pairs.orderBy("distance", "set_1", "set_2").limit(10)
 
 
-def cluster_w2(spark, d):
+def cluster_w2(spark, d, metric="w2"):
     """Distances of clusters of label and id ending, those of four or more members."""
     c = table(spark, d, "embeddings").select(F.concat_ws("-", F.col("label").cast("string"), (F.col("vec_id") % 13).cast("string")).alias("set_id"), part_id("vec_id").alias("gene"))
     g = gaussians.cluster_gaussians(vectors(spark, d), c, min_size=4)
-    return similarity.set_distance(g).select("set_1", "set_2", r("distance"))
+    return similarity.set_distance(g, metric=metric).select("set_1", "set_2", r("distance"))
+
+
+def cluster_sym_kl(spark, d):
+    return cluster_w2(spark, d, "sym_kl")
 
 
 # scores and concise sets
@@ -276,14 +295,6 @@ def _sweep_tested(mode, data):
 
 # fits
 
-def fit_svd(spark, d):
-    """Graph, walks, SVD and Gaussians of the interaction table and its sets."""
-    edges = table(spark, d, "ppi").select(F.nullif(folded(F.col("node1")), F.lit("")).alias("node1"), F.nullif(folded(F.col("node2")), F.lit("")).alias("node2"), "weight")
-    sets = table(spark, d, "gene_sets").select("set_id", F.explode("gene_sets").alias("gene")).select("set_id", folded(F.col("gene")).alias("gene"))
-    m = fit(edges, sets, weight="weight", dim=8, k=16)
-    return m.gaussians.where("mu is not null").select("set_id", "n", F.size("mu").alias("dim"))
-
-
 def fit_autoencoder(spark, d):
     _, losses = autoencoder_embedding(diffusion.node_features(trade(spark, d), k=8, **WALK), 4, epochs=10)
     return losses
@@ -305,13 +316,14 @@ QUERIES = {
     **{f.__name__: f for f in (graph_undirected, graph_directed, graph_self_loops, graph_nodes_subset, transition_col, transition_row, degree_unweighted, degree_weighted, landmarks_degree, landmarks_random)},
     **{f.__name__: f for f in (walk_steps, walk_blocks, node_features, set_features, walk_converged, svd_gram, set_gaussians, gaussians_edge_cases, cosine_top, cosine_subset, cosine_mean)},
     **{f"distance_{m}": _distance(m) for m in similarity.METRICS},
-    **{f.__name__: f for f in (closest_sets, cluster_w2)},
+    **{f.__name__: f for f in (closest_sets, cluster_w2, cluster_sym_kl, all_similarities, wide_embedding)},
     **{f"score_{s}": _score(s) for s in concise.SCORES},
     "concise_top_n": _concise(top_n=20),
     "concise_mass": _concise(select="softmax_mass", temperature=8.0),
     "concise_quantile": _concise(select="quantile", quantile=0.7),
     "concise_threshold": _concise(select="score_threshold", score_threshold=90.0),
     "concise_unrestricted": _concise(top_n=20, restrict_to_members=False),
+    "concise_mass_unrestricted": _concise(select="softmax_mass", temperature=8.0, restrict_to_members=False),
     **{f.__name__: f for f in (soft_membership, soft_membership_restricted, hub_weights)},
     "gsea_scores": _gsea(nperm=0),
     "ora_scores": _gsea(enrichment.ora, large_parts, nperm=0),
@@ -322,5 +334,5 @@ QUERIES = {
     "ora_tested": _gsea(enrichment.ora, large_parts, nperm=50),
     "sweep_tested_gsea": _sweep_tested("gsea", prices),
     "sweep_tested_ora": _sweep_tested("ora", large_parts),
-    **{f.__name__: f for f in (perm_null, sweep_compare, sweep_long, fit_svd, fit_autoencoder, fit_joint, event_scores)},
+    **{f.__name__: f for f in (perm_null, sweep_compare, sweep_long, fit_autoencoder, fit_joint, event_scores)},
 }

@@ -151,17 +151,22 @@ SQL = {
     "set_gaussians": f"with {_G} select set_id, k, round(mu, 6) as mu, round(v, 6) as var from g",
     "gaussians_edge_cases": "select label::varchar as set_id, 1 as n, round(arg_min(embedding[1]::double, vec_id), 6) as mu_0, 1e-8 as var_0 from embeddings group by label union all select 'suppliers', 0, null, null",
     "cosine_top": f"with {_UNIT}, c as (select a.gene as gene_1, b.gene as gene_2, sum(a.x * b.x) as s from u a join u b using (k) where a.gene <> b.gene group by 1, 2), n as (select *, row_number() over (partition by gene_1 order by round(s, 9) desc, gene_2) as rank from c) select gene_1, gene_2, round(s, 6) + 0.0 as similarity, rank from n where rank <= 10",
-    "cosine_subset": f"with {_UNIT} select a.gene as gene_1, b.gene as gene_2, round(sum(a.x * b.x), 6) + 0.0 as similarity from u a join u b using (k) where a.pos between 1 and 30 and (b.pos between 11 and 30 or b.pos = 41) group by 1, 2",
+    "cosine_subset": f"with {_UNIT.replace('u as (select gene', 'u as (select label, gene')} select a.gene as gene_1, b.gene as gene_2, round(sum(a.x * b.x), 6) + 0.0 as similarity from u a join u b using (k) where a.label::varchar = '0' and b.label::varchar in ('1', '2') group by 1, 2",
     "cosine_mean": f"with {_UNIT}, n as (select count(*) as n from embeddings), t as (select k, sum(x) as t from u group by 1) select gene as gene_1, round(sum(x * t) / any_value(n), 6) + 0.0 as mean, any_value(n) as n from u join t using (k) join n on true group by 1",
     **{f"distance_{m}": f"with {_G} {_distances(m, 4)}" for m in _DISTANCE},
     "closest_sets": f"with {_G}, d as ({_distances('w2', 6)}) select * from d where set_1 < set_2 order by distance, set_1, set_2 limit 10",
     "cluster_w2": f"with {_V.replace('label,', 'label, concat_ws(chr(45), label::varchar, (vec_id % 13)::varchar) as cluster,')}, g as (select cluster as set_id, k, avg(x) as mu, greatest(var_samp(x), 1e-8) as v from e group by 1, 2 having count(*) >= 4) {_distances('w2', 6)}",
+    "cluster_sym_kl": f"with {_V.replace('label,', 'label, concat_ws(chr(45), label::varchar, (vec_id % 13)::varchar) as cluster,')}, g as (select cluster as set_id, k, avg(x) as mu, greatest(var_samp(x), 1e-8) as v from e group by 1, 2 having count(*) >= 4) {_distances('sym_kl', 6)}",
+    "all_similarities": f"with {_G}, u as (select gene, k, x / greatest(sqrt(sum(x * x) over (partition by gene)), 1e-12) as x from e) select 'gene_gene' as what, a.gene as id_1, b.gene as id_2, round(sum(a.x * b.x), 4) + 0.0 as value from u a join u b using (k) group by 2, 3"
+    + "".join(f" union all select '{what}', * from ({_distances(metric, 4)})" for what, metric in (("set_set_w2", "w2"), ("set_set_kl", "sym_kl"))),
+    "wide_embedding": "select vec_id::varchar as gene, round(list_sum(list_transform(embedding[1:8], lambda x: x::double * x::double)), 6) + 0.0 as square from embeddings",
     **{f"score_{s}": f"with {_G}, {_score(s)} select set_id, gene, round(score, 4) + 0.0 as score from s" for s in ("loglik", "neg_mahalanobis")},
     "concise_top_n": _CONCISE + " select set_id, gene, rank from c where rank <= 20",
     "concise_mass": _CONCISE + f", z as (select *, exp((score - max(score) over (partition by set_id)) / 8) as z from c), y as (select *, sum(z) over (partition by set_id order by rank) as run, sum(z) over (partition by set_id) as total from z), t as (select set_id, min(rank) as k from y where run >= (0.8 - 1e-12) * total group by 1) select set_id, gene, rank from c join t using (set_id) where rank <= {_KEPT}",
     "concise_quantile": _CONCISE + f", q as (select set_id, quantile_cont(score, 0.7) as cut from c group by 1), t as (select set_id, count(*) as k from c join q using (set_id) where score >= cut group by 1) select set_id, gene, rank from c join t using (set_id) where rank <= {_KEPT}",
     "concise_threshold": _CONCISE + f", t as (select set_id, count(*) filter (where score >= 90.0) as k from c group by 1) select set_id, gene, rank from c join t using (set_id) where rank <= {_KEPT}",
     "concise_unrestricted": f"with {_G}, {_score('loglik')}, c as (select *, row_number() over (partition by set_id order by round(score, 9) desc, pos) as rank from s) select set_id, gene, rank from c where rank <= 20",
+    "concise_mass_unrestricted": f"with {_G}, {_score('loglik')}, c as (select *, row_number() over (partition by set_id order by round(score, 9) desc, pos) as rank from s), z as (select *, exp((score - max(score) over (partition by set_id)) / 8) as z from c), y as (select *, sum(z) over (partition by set_id order by rank) as run, sum(z) over (partition by set_id) as total from z), t as (select set_id, min(rank) as k from y where run >= (0.8 - 1e-12) * total group by 1) select set_id, gene, rank from c join t using (set_id) where rank <= {_KEPT}",
     "soft_membership": f"with {_W} select set_id, gene, round(w, 6) + 0.0 as w from w",
     "soft_membership_restricted": f"with {_W_MEMBERS} select set_id, gene, round(w, 6) + 0.0 as w from w",
     "hub_weights": f"with {_SUPPLY}, {_W}, {_DEGREE}, h as ({_hub(0.5)}) select set_id, gene, round(w, 6) + 0.0 as w from h",

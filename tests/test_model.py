@@ -160,7 +160,9 @@ def test_scores_and_concise_sets(spark, model):
     assert pick(top_n=0, min_size=9) == {"S1": ["A", "B", "C"], "S2": ["D", "E"]}
     assert pick(select="softmax_mass", mass=1.0, min_size=0) == {"S1": ["A", "B", "C"], "S2": ["D", "E"]}
     assert pick(select="softmax_mass", mass=0.3, min_size=0) == {"S1": ["A"], "S2": ["D"]}
-    assert pick(select="quantile", quantile=1.0, min_size=0)["S1"] == ["A"]
+    assert pick(select="quantile", quantile=0.99, min_size=0)["S1"] == ["A"]
+    with pytest.raises(ValueError, match="quantile"):
+        model.concise_sets(sets(spark), select="quantile", quantile=1.0)
     assert pick(select="score_threshold", score_threshold=2.2, min_size=0, max_size=9)["S1"] == ["A", "B"]
     with pytest.raises(ValueError):
         model.concise_sets(sets(spark), select="score_threshold")
