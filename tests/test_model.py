@@ -2,13 +2,14 @@
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from netsets.functions.numbering import discoveries, with_numbers
-from netsets.operators import concise, diffusion, enrichment, gaussians, graph, joint, similarity
+from netsets.operators import concise, diffusion, enrichment, gaussians, graph, joint, permutation, similarity
 from netsets.operators.embedding import autoencoder_embedding, svd_embedding
 from netsets.operators.joint import joint_fit
 from netsets.plans.model import SetEmbedding, fit
@@ -208,6 +209,79 @@ def test_permutation_null(spark, model):
     assert all(r["z"] is None and r["pvalue"] is not None for r in model.gsea(stats(spark), nperm=1).collect())
 
 
+def test_many_genes_take_the_way_by_joins(spark, model, monkeypatch):
+    """Beyond the bound of the broadcast the null scores come from joins, with the same results."""
+    run = lambda: {r["ID"]: tuple(r) for r in model.gsea(stats(spark), sets(spark), nperm=30, restrict_to_members=True).collect()}
+    near = run()
+    monkeypatch.setattr(enrichment, "MAX_BROADCAST_GENES", 0)
+    far = run()
+    assert near.keys() == far.keys() and all(a == pytest.approx(b) if isinstance(a, float) else a == b for k in near for a, b in zip(near[k], far[k]))
+
+
+def test_small_pieces_give_the_same_null(spark, model, monkeypatch):
+    genes = enrichment.overlap(stats(spark), model.embedding)
+    w = enrichment.soft_membership(model.embedding, model.gaussians, genes)
+    whole = {(r["set_id"], r["b"]): r["null"] for r in enrichment.null_scores(w, genes, 40).collect()}
+    monkeypatch.setattr(enrichment, "HELD", 3)
+    assert {(r["set_id"], r["b"]): r["null"] for r in enrichment.null_scores(w, genes, 40).collect()} == pytest.approx(whole)
+    r = np.random.default_rng(1)
+    values, gene, starts, x = r.normal(size=(50, 7)), r.integers(0, 50, 90), np.array([0, 1, 40, 60]), r.random(90)
+    want = np.stack([(values[gene[a:b]] * x[a:b, None]).sum(0) for a, b in zip(starts, [1, 40, 60, 90])])
+    for held in (1, 30, 10**6):
+        monkeypatch.setattr(enrichment, "HELD", held)
+        assert enrichment._sums(x, gene, starts, values) == pytest.approx(want) and enrichment._sums(x, gene, starts, np.tile(values, (40, 1))) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 257, 1000])
+def test_places_are_permutations(n):
+    p = permutation.places(np.arange(n), np.arange(1, 41), n, 7)
+    assert all(sorted(c) == list(range(n)) for c in p.T.tolist()) and (permutation.places(np.arange(n)[::2], np.arange(9, 12), n, 7) == p[::2, 8:11]).all()
+    if n == 5:  # every order is about as likely as any other
+        seen = Counter(map(tuple, permutation.places(np.arange(5), np.arange(1, 12001), 5, 1).T.tolist()))
+        assert len(seen) == 120 and sum((c - 100) ** 2 / 100 for c in seen.values()) / 119 < 1.5
+
+
+def test_adjacency_as_a_source(spark):
+    rows = [("A", "B", 2.0), ("B", "A", 1.0), ("C", "A", 0.0)]
+    table = lambda r: spark.createDataFrame(r, "src string, dst string, w double")
+    g = graph.from_adjacency(table(rows))
+    assert adjacency(g) == {("A", "B"): 2.0, ("B", "A"): 1.0} and [r["node"] for r in g.nodes.orderBy("pos").collect()] == list("ABC")
+    for bad in (("A", None, 1.0), ("A", "B", 3.0), ("A", "C", None), ("A", "C", -1.0), ("A", "C", float("nan")), ("A", "C", float("inf"))):
+        with pytest.raises(ValueError):
+            graph.from_adjacency(table([*rows, bad]))
+    with pytest.raises(ValueError, match="not among"):
+        graph.from_adjacency(table(rows), spark.createDataFrame([("A", 0), ("B", 1)], "node string, pos long"))
+
+
+def test_sets_that_are_not_drawn_move_by_their_momentum(spark):
+    """The steps of all sets are those of one Adam over all parameters, with gradients of 0 where nothing is drawn."""
+    params = joint._set_start(spark.createDataFrame([("a",), ("b",)], "set_id string"), 2, 1)
+    mu = {r["set_id"]: np.array(r["mu"]) for r in params.collect()}
+    mean, square = {k: np.zeros(2) for k in mu}, {k: np.zeros(2) for k in mu}
+    for step, drawn in enumerate(["a", "b", "b"], 1):
+        g = np.array([0.5, -1.0]) * step
+        params = joint._stepped(params, spark.createDataFrame([(drawn, g.tolist(), g.tolist())], "set_id string, to_mu array<double>, to_logvar array<double>"), step, 0.1, 2)
+        for k in mu:
+            mu[k], mean[k], square[k] = joint._adam(mu[k], g if k == drawn else np.zeros(2), mean[k], square[k], step, 0.1)
+    assert {r["set_id"]: r["mu"] for r in params.collect()} == {k: pytest.approx(v.tolist()) for k, v in mu.items()}
+
+
+def test_closest_sets_and_mean_cosines(spark, model):
+    closest = {r["set_1"]: (r["set_2"], r["rank"]) for r in similarity.closest_sets(model.gaussians, 1).collect()}
+    assert closest == {"S1": ("S2", 1), "S2": ("S1", 1)}
+    pairs = model.gene_similarity().groupBy("gene_1").agg(F.avg("similarity").alias("m"))
+    assert {r["gene"]: r["mean"] for r in similarity.mean_cosine(model.embedding).collect()} == pytest.approx({r["gene_1"]: r["m"] for r in pairs.collect()})
+
+
+def test_the_grid_holds_every_pair_once(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(90, 5))
+    df = spark.createDataFrame([(f"g{i:02d}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<double>")
+    for left, right in ((df, df), (df, df.where("id < 'g07'")), (df.where("id < 'g07'"), df), (df, df.where("false"))):
+        got = similarity.pairwise(left, right, ["vec"], ["vec"], "cosine", 1e-12, block=4).collect()
+        assert len(got) == left.count() * right.count() == len({(p["id_1"], p["id_2"]) for p in got})
+
+
 def test_partial_and_dirty_statistics(spark, model):
     some = stats(spark, [("A", 1.0), ("A", 5.0), ("B", 2.0), (None, 1.0), ("Z", 3.0)])
     assert {r["gene"]: r["stat"] for r in enrichment.overlap(some, model.embedding).collect()} == {"A": 1.0, "B": 2.0}
