@@ -47,15 +47,6 @@ class Node:
         return F.concat(F.lit("("), F.array_join(F.transform(parts, lambda p: F.concat(F.length(p).cast("string"), F.lit(":"), p)), ","), F.lit(")"))
 
 
-def number_in(text: Column) -> Column:
-    """The number in a delivered text, as a double; null where it holds none.
-
-    White space and punctuation around the number mean nothing, a comma is a decimal point, exponents are legal.
-    """
-    found = F.regexp_extract(F.regexp_replace(text, ",", "."), r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0)
-    return F.nullif(found, F.lit("")).try_cast("double") + F.lit(0.0)
-
-
 def with_digest(rows: DataFrame, tree: Node, id_col: str) -> DataFrame:
     """(id_col, _digest, _canonical) of each row; other columns are dropped, so their names can't clash."""
     return rows.select(F.col(id_col), tree.digest().alias("_digest"), tree.canonical().alias("_canonical"))

@@ -3,7 +3,7 @@
 Each task packs its share of the items in a fixed order. A level array counts the partially filled containers at each fill
 level; an item goes where the sum of the squared counts grows least, a container that becomes full leaves the array. The number
 of shares follows from the total size, so a share fills thousands of containers and what its last partial ones leave unused is
-small at any scale.
+small at any scale, and from the number of items, as any number of empty ones may come.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Containers that one task fills, about.
-CONTAINERS_PER_TASK = 4096
+#: Containers that one task fills, about, and items that it takes at most, about.
+CONTAINERS_PER_TASK, ITEMS_PER_TASK = 4096, 1_000_000
 
 
 class Levels:
@@ -59,8 +59,8 @@ def pack(sizes: DataFrame, capacity: int, id_col: str, size_col: str, containers
     """
     kind = sizes.schema[id_col].dataType.simpleString()
     slim = sizes.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"))
-    total = slim.agg(F.sum("size")).first()[0] or 0
-    tasks = max(1, ceil(total / (capacity * containers_per_task)))
+    total, items = slim.agg(F.sum("size"), F.count(F.lit(1))).first()
+    tasks = max(1, ceil((total or 0) / (capacity * containers_per_task)), ceil(items / ITEMS_PER_TASK))
     share = slim.repartition(tasks, F.xxhash64("id", "size")).sortWithinPartitions("id", "size").withColumn("task", F.spark_partition_id().cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from netsets.llm import clusters, cooccurrence, copies, encoding, neighbours, packing, set_join, subjects, topn
 from netsets.session import written
-from netsets.sources.tables import folded, table
+from netsets.sources.tables import folded, number_in, table
 
 
 def _edge_tree() -> copies.Node:
     """An interaction: the unordered pair of folded names, and the weight as delivered."""
     ends = copies.Node((copies.Leaf(folded(F.col("node1"))), copies.Leaf(folded(F.col("node2")))), ordered=False)
-    return copies.Node((ends, copies.Leaf(copies.number_in(F.col("weight_text")))))
+    return copies.Node((ends, copies.Leaf(number_in(F.col("weight_text")))))
 
 
 def _named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,14 +26,15 @@ from netsets.session import written
 
 #: Labelled documents used for training, at most (those with a low hash); everything else covers all rows.
 MAX_TRAINING = 20_000
-#: Sentences up to which "at least a third of them" is "at least one".
+#: Sentences up to which "at least a third of them" is "at least one", which the likelihood takes exactly; beyond, the count of
+#: sentences is taken as normal. Only training uses a likelihood: documents are scored by their sentences.
 SHORT = 3
-#: Labels that are expected to be wrong: subjects marked without ground, and subjects missed.
+#: Shares of labels that are expected to be wrong, by default: subjects marked without ground, and subjects missed.
 MARKED_WRONGLY, MISSED = 0.02, 0.08
 BUCKETS, DIM, ROUNDS, TRAINING_TASKS, RATE = 1 << 15, 16, 32, 8, 0.1
 _SENTENCE_END = regex.compile(r"(?<=[.!?…。])[\"'»”’)\]]*\s+")
 _WORD = regex.compile(r"\p{L}+")
-_TAG = regex.compile(r"</?\p{L}[^<>]{0,200}>")
+_TAG = regex.compile(r"</?\p{L}[^<>]*>")
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -70,7 +71,7 @@ class Parameters:
         return Parameters(flat[:a].reshape(BUCKETS, DIM), flat[a:b].reshape(DIM, subjects), flat[b:])
 
 
-def _gradient(p: Parameters, words: pa.DictionaryArray, per_sentence: np.ndarray, per_doc: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, float]:
+def _gradient(p: Parameters, words: pa.DictionaryArray, per_sentence: np.ndarray, per_doc: np.ndarray, wanted: np.ndarray, wrongly: float, missed: float) -> tuple[np.ndarray, float]:
     """The gradient and loss of documents: all words, words by sentence, sentences by document, wanted subjects by document."""
     own = [features(w) for w in words.dictionary.to_pylist()]
     sizes = np.fromiter(map(len, own), np.int64, len(own))
@@ -88,9 +89,9 @@ def _gradient(p: Parameters, words: pa.DictionaryArray, per_sentence: np.ndarray
     over = (np.add.reduceat(about, doc, axis=0) - third + 0.5) / spread
     long = (per_doc > SHORT)[:, None]
     holds = np.where(long, [[erfc(-v / sqrt(2)) / 2 for v in row] for row in over.tolist()], 1 - none)
-    marked = MARKED_WRONGLY + (1 - MARKED_WRONGLY - MISSED) * holds
+    marked = wrongly + (1 - wrongly - missed) * holds
     loss = -float((wanted * np.log(marked) + (1 - wanted) * np.log(1 - marked)).sum())
-    slope = (1 - MARKED_WRONGLY - MISSED) * ((1 - wanted) / (1 - marked) - wanted / marked)
+    slope = (1 - wrongly - missed) * ((1 - wanted) / (1 - marked) - wanted / marked)
     each = np.repeat(np.where(long, slope * np.exp(-over * over / 2) / sqrt(2 * pi) / spread, slope * none), per_doc, axis=0)
     pull = each * about * np.where(np.repeat(long, per_doc, axis=0), 1 - about, 1)
     back = np.repeat(pull @ p.output.T / parts, per_sentence, axis=0)
@@ -121,8 +122,11 @@ def _training_rows(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> D
     return texts.mapInArrow(run, "wanted array<float>, words array<string>, per_sentence array<int>")
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> Parameters:
-    """Parameters fitted by Adam on the sum of the partitions' gradients; the starting parameters where nothing is labelled."""
+def train(docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = ROUNDS, wrongly: float = MARKED_WRONGLY, missed: float = MISSED) -> Parameters:
+    """Parameters fitted by Adam on the sum of the partitions' gradients; the starting parameters where nothing is labelled.
+
+    `wrongly` and `missed` are the shares of labels expected to be wrong.
+    """
     spark = docs.sparkSession
     rows = written(_training_rows(docs, labels, subjects).repartition(TRAINING_TASKS), "training")
     parameters = Parameters.start(len(subjects))
@@ -137,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int =
                 t = pa.Table.from_batches(held).combine_chunks()
                 column = lambda name: t.column(name).chunk(0)
                 wanted = column("wanted").flatten().to_numpy().reshape(t.num_rows, -1)
-                sums, loss = _gradient(Parameters.of(shared.value, wanted.shape[1]), column("words").flatten().dictionary_encode(), column("per_sentence").flatten().to_numpy(), column("per_sentence").value_lengths().to_numpy(), wanted)
+                sums, loss = _gradient(Parameters.of(shared.value, wanted.shape[1]), column("words").flatten().dictionary_encode(), column("per_sentence").flatten().to_numpy(), column("per_sentence").value_lengths().to_numpy(), wanted, wrongly, missed)
                 yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([loss])], names=["sums", "loss"])
 
         # one gradient of the parameters' size from each of the TRAINING_TASKS partitions
@@ -156,10 +160,10 @@ def subjects_of(docs: DataFrame, parameters: Parameters, subjects: list[str]) ->
     shared = docs.sparkSession.sparkContext.broadcast(parameters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, known, sums = shared.value, {}, []
+        p, known, table = shared.value, {}, np.empty((0, DIM + 1), np.float32)
         for batch in batches:
             if len(known) > 500_000:
-                known, sums = {}, []
+                known, table = {}, table[:0]
             words, per_sentence, per_doc = [], [], []
             for text in batch.column(1).to_pylist():
                 found = sentences(text)
@@ -167,15 +171,18 @@ def subjects_of(docs: DataFrame, parameters: Parameters, subjects: list[str]) ->
                 for s in found:
                     per_sentence.append(len(s))
                     words.extend(s)
+            fresh = []
             for w in words:
                 if w not in known:
                     known[w] = len(known)
                     feats = list(features(w))
-                    sums.append(np.r_[p.embedding[feats].sum(0), np.float32(len(feats))])
+                    fresh.append(np.r_[p.embedding[feats].sum(0), np.float32(len(feats))])
+            if fresh:
+                table = np.concatenate([table, np.array(fresh, np.float32)])
             if not words:
                 continue
             at = np.r_[0, np.cumsum(per_sentence)[:-1]]
-            total = np.add.reduceat(np.array(sums)[np.fromiter(map(known.__getitem__, words), np.int64, len(words))], at, axis=0)
+            total = np.add.reduceat(table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))], at, axis=0)
             about = (total[:, :-1] / total[:, -1:]) @ p.output + p.bias > 0
             doc = np.repeat(np.arange(len(per_doc)), per_doc)
             counts = np.stack([np.bincount(doc, about[:, k], len(per_doc)) for k in range(len(subjects))], axis=1).astype(np.int64)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsets.llm import copies, topn
 from netsets.llm.queries import _edge_tree
-from netsets.sources.tables import folded
+from netsets.sources.tables import folded, number_in
 
 EDGES = "edge_id long, node1 string, node2 string, weight_text string, first_id long, copies int"
 
@@ -43,7 +43,7 @@ def test_a_collision_of_digests_merges_nothing(spark):
 
 def test_numbers_in_texts(spark):
     texts = ["0.5", " 0,5 ", "(.5)", "5e-1", "5E-01;", "+0.50", "half", "", None, "1e999", "-0"]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(copies.number_in(F.col("t"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(number_in(F.col("t"))).collect()]
     assert got == [0.5] * 6 + [None] * 3 + [float("inf"), 0.0] and str(got[-1]) == "0.0"
 
 

@@ -77,6 +77,12 @@ def test_packing_is_whole_tight_and_repeatable(spark):
     assert placed(spark, [], 10) == [] and len(placed(spark, [(1, 0)], 10)) == 1
 
 
+def test_many_empty_items_take_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 50)
+    got = placed(spark, [(i, 0) for i in range(400)] + [(1000, 7)], 10)
+    assert len(got) == 401 and len({r["container_id"] >> 33 for r in got}) > 4
+
+
 def test_levels_minimise_the_sum_of_squares():
     random.seed(2)
     levels, counts = packing.Levels(12), [0] * 13
