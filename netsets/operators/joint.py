@@ -55,17 +55,20 @@ def joint_fit(graph: Graph, membership: DataFrame, marks: DataFrame | None = Non
     marks = written(marks if marks is not None else landmarks(graph, k), "landmarks")
     seeds = marks.select(F.col("landmark").alias("node"), F.concat(F.lit("l:"), "landmark").alias("col"), F.lit(1.0).alias("val"))
     sets = set_seeds(graph, membership).withColumn("col", F.concat(F.lit("s:"), "col"))
-    spread = written(diffuse(graph, seeds.unionByName(sets), **how), "distributions")
     by_draw = lambda t, c: t.select(c).distinct().orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), c)), c)
     names = [r[0] for r in by_draw(marks, "landmark").collect()]  # k names
     state = written(_start(graph.nodes, dim, seed), "points")
     random = np.random.default_rng(seed)
     params = written(_set_start(sets.select(F.substring("col", 3, 1 << 20).alias("set_id")).distinct(), dim, seed), "sets")
+    draws = [_drawn(params, batch_size, step, seed) for step in range(1, epochs + 1)]
+    # only sets that some epoch draws need a distribution
+    wanted = spark.createDataFrame([(f"s:{s}",) for s in sorted({s for own in draws for s in own})], "col string")
+    spread = written(diffuse(graph, seeds.unionByName(sets.join(wanted, "col", "left_semi")), **how), "distributions")
     losses = []
     for step in range(1, epochs + 1):
         own = sorted(random.choice(len(names), min(batch_size, len(names)), replace=False).tolist())
         own = [names[i] for i in own]
-        chosen = _drawn(params, batch_size, step, seed)
+        chosen = draws[step - 1]
         before = (state, params)
         state, params, loss = _epoch(spark, state, params, spread, own, chosen, step, lr, tau, lambda_set, dim)
         discard(*before)

@@ -102,6 +102,11 @@ def net_fit_autoencoder(spark, d):
     return fit(interactions(spark, d), _folded_members(spark, d), weight="weight", method="autoencoder", dim=16, k=32).losses
 
 
+def net_fit_joint(spark, d):
+    """Three epochs of the joint training on the network and its sets: the losses."""
+    return fit(interactions(spark, d), _folded_members(spark, d), weight="weight", method="joint", k=16, dim=8, epochs=3, lr=1e-2).losses
+
+
 def net_closest_sets(spark, d):
     """The five closest sets of each set's fitted Gaussian."""
     return similarity.closest_sets(set_models(spark, d), 5).select("set_1", "set_2", r("distance"), "rank")
@@ -128,7 +133,7 @@ def _tested(test, data, **how):
 
 
 QUERIES = {
-    **{f.__name__: f for f in (net_walk, net_walk_grid, net_random_walk, net_set_features, net_fit_svd, net_fit_autoencoder, net_closest_sets, net_mean_cosine)},
+    **{f.__name__: f for f in (net_walk, net_walk_grid, net_random_walk, net_set_features, net_fit_svd, net_fit_autoencoder, net_fit_joint, net_closest_sets, net_mean_cosine)},
     "net_concise_top_n": _concise(top_n=20, score="neg_mahalanobis"),
     "net_concise_mass": _concise(select="softmax_mass", temperature=8.0),
     "net_gsea": _tested(enrichment.gsea, statistics, nperm=100),

