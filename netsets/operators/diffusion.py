@@ -183,7 +183,9 @@ def _walk(edges: DataFrame, graph: Graph, seeds: DataFrame, alpha: float, tol: f
     stop = tol / max(1, columns)
     if method == "auto":
         method = "blocks" if count <= MAX_BROADCAST_EDGES else "joins"
-    if method == "blocks" or not columns:
+    if not columns:
+        found = placed
+    elif method == "blocks":
         found = written(_by_broadcast(edges, n, placed, alpha, stop, max_iter), "walked")
     else:
         found = None
@@ -223,8 +225,9 @@ def random_walk(graph: Graph, seed: DataFrame, **how) -> DataFrame:
 def node_features(graph: Graph, marks: DataFrame | None = None, k: int = 128, landmark_method: str = "degree", seed: int = 1, **how) -> DataFrame:
     """(node, pos, features): the walk's mass at each node from each landmark, in the landmarks' rank order; 0 where none arrives."""
     graph = settled(graph)
-    marks = written(marks if marks is not None else landmarks(graph, k, landmark_method, seed), "landmarks")
-    check(marks.join(graph.nodes, marks["landmark"] == graph.nodes["node"], "left_anti").isEmpty(), "a landmark is not a node of the graph")
+    given = marks is not None
+    marks = written(marks if given else landmarks(graph, k, landmark_method, seed), "landmarks")
+    check(not given or marks.join(graph.nodes, marks["landmark"] == graph.nodes["node"], "left_anti").isEmpty(), "a landmark is not a node of the graph")
     p = diffuse(graph, marks.select(F.col("landmark").alias("node"), F.col("rank").alias("col"), F.lit(1.0).alias("val")), **how)
     by_rank = p.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("col", "val"))).alias("m"))
     ranks = F.sequence(F.lit(1), F.lit(marks.count()))

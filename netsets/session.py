@@ -75,7 +75,10 @@ def _remove_all() -> None:
     for path, spark in list(_paths.items()):
         if spark.sparkContext._jsc is None:
             return
-        _remove(spark, path)
+        try:
+            _remove(spark, path)
+        except Exception:  # the session's process has ended before: there is nobody to ask
+            return
 
 
 _paths: dict[str, SparkSession] = {}

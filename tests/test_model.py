@@ -81,6 +81,15 @@ def test_set_features_equal_walks_from_the_sets(spark, model):
         assert got["none"] is None and got["S1"] == pytest.approx([p["S1", "C"], p["S1", "A"]], abs=1e-9) and got["S2"] == pytest.approx([p["S2", "C"], p["S2", "A"]], abs=1e-9)
 
 
+def test_no_seeds_and_no_edges(spark, model):
+    none = spark.createDataFrame([], "node string, col int, val double")
+    assert all(diffusion.diffuse(model.graph, none, method=m).count() == 0 for m in ("joins", "blocks"))
+    alone = graph.build_graph(edges(spark, [("A", "B", 0.0)]), weight="weight")
+    for m in ("joins", "blocks"):
+        got = diffusion.random_walk(alone, spark.createDataFrame([("A", 2.0)], "node string, val double"), method=m).collect()
+        assert [tuple(r) for r in got] == [("A", 1.0)]
+
+
 def test_seed_errors(spark, model):
     with pytest.raises(ValueError, match="positive mass"):
         diffusion.random_walk(model.graph, spark.createDataFrame([("C", 0.0)], "node string, val double"))
