@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
-from math import erfc, pi, sqrt
+from math import ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,8 @@ from netsets.session import written
 
 #: Labelled documents used for training, at most (those with a low hash); everything else covers all rows.
 MAX_TRAINING = 20_000
-#: Sentences up to which "at least a third of them" is "at least one", which the likelihood takes exactly; beyond, the count of
-#: sentences is taken as normal. Only training uses a likelihood: documents are scored by their sentences.
-SHORT = 3
+#: Numbers of the likelihood held in memory at once; and the exponent from which e^-x counts as nothing in it.
+HELD, NOTHING = 1 << 19, 42.0
 #: Shares of labels that are expected to be wrong, by default: subjects marked without ground, and subjects missed.
 MARKED_WRONGLY, MISSED = 0.02, 0.08
 BUCKETS, DIM, ROUNDS, TRAINING_TASKS, RATE = 1 << 15, 16, 32, 8, 0.1
@@ -71,6 +70,46 @@ class Parameters:
         return Parameters(flat[:a].reshape(BUCKETS, DIM), flat[a:b].reshape(DIM, subjects), flat[b:])
 
 
+def _at_least(p: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """P(X >= least) for X the number of successes of the trials p[doc, trial, subject], and its derivative by each probability.
+
+    The distribution comes from its characteristic function at an odd number of points (which keeps every factor from 0). The
+    points cover all values of X, or where those are many, a window around the mean beyond which less than e^-NOTHING lies
+    (Bernstein's inequality); frequencies whose function is below that are left out too. So the work grows with the trials.
+    """
+    docs, n, subjects = p.shape
+    mean, variance = p.sum(1), (p * (1 - p)).sum(1)
+    reach = NOTHING / 3 + sqrt(NOTHING * NOTHING / 9 + 2 * NOTHING * float(variance.max()))
+    points = min(n + 1 | 1, 2 * ceil(reach) + 3)
+    first = np.zeros_like(mean) if points > n else np.floor(mean) - points // 2
+    start = np.clip(least, first, first + points)
+    angle = 2 * pi / points * np.arange(1, points // 2 + 1)
+    angle = angle[(1 - np.cos(angle)) * float(variance.min()) <= NOTHING + 2 * np.log(n + 1)]
+    tail, slope = first + points - start, np.zeros_like(p)
+    at_once = max(1, HELD // p.size)
+    for some in (angle[at : at + at_once] for at in range(0, len(angle), at_once)):
+        turn = np.exp(1j * some)[:, None, None]
+        weight = 2 * (turn**-start - turn**-first) / (1 - 1 / turn)
+        factors = 1 + (turn[:, :, None] - 1) * p
+        whole = weight * factors.prod(2)
+        tail += whole.real.sum(0)
+        slope += ((whole * (turn - 1))[:, :, None] / factors).real.sum(0)
+    return np.clip(tail / points, 0, 1), slope / points
+
+
+def _third(about: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's probability that at least a third of its sentences are about a subject, and the derivatives by those of its sentences."""
+    holds, slope = np.empty((len(per_doc), about.shape[1])), np.empty(about.shape)
+    starts = np.r_[0, np.cumsum(per_doc)[:-1]]
+    for n in np.unique(per_doc).tolist():
+        same = np.flatnonzero(per_doc == n)
+        at_once = max(1, HELD // (n * (n // 2 + 1) * about.shape[1]))
+        for docs in (same[at : at + at_once] for at in range(0, len(same), at_once)):
+            rows = starts[docs][:, None] + np.arange(n)
+            holds[docs], slope[rows] = _at_least(about[rows], -(-n // 3))
+    return holds, slope
+
+
 def _gradient(p: Parameters, words: pa.DictionaryArray, per_sentence: np.ndarray, per_doc: np.ndarray, wanted: np.ndarray, wrongly: float, missed: float) -> tuple[np.ndarray, float]:
     """The gradient and loss of documents: all words, words by sentence, sentences by document, wanted subjects by document."""
     own = [features(w) for w in words.dictionary.to_pylist()]
@@ -78,22 +117,15 @@ def _gradient(p: Parameters, words: pa.DictionaryArray, per_sentence: np.ndarray
     feats = np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))
     word = words.indices.to_numpy()
     vectors = np.add.reduceat(p.embedding[feats], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
-    sentence, doc = np.r_[0, np.cumsum(per_sentence)[:-1]], np.r_[0, np.cumsum(per_doc)[:-1]]
+    sentence = np.r_[0, np.cumsum(per_sentence)[:-1]]
     parts = np.add.reduceat(sizes[word], sentence)[:, None]
     hidden = np.add.reduceat(vectors[word], sentence, axis=0) / parts
     about = 1 / (1 + np.exp(-np.clip(hidden @ p.output + p.bias, -30, 30)))
-    # short documents: one sentence at least; longer ones: a normal count of sentences against a third of them
-    none = np.exp(np.add.reduceat(np.log1p(-np.minimum(about, 1 - 1e-7)), doc, axis=0))
-    spread = np.sqrt(np.add.reduceat(about * (1 - about), doc, axis=0) + 0.25)
-    third = -(-per_doc // 3)[:, None]
-    over = (np.add.reduceat(about, doc, axis=0) - third + 0.5) / spread
-    long = (per_doc > SHORT)[:, None]
-    holds = np.where(long, [[erfc(-v / sqrt(2)) / 2 for v in row] for row in over.tolist()], 1 - none)
+    holds, by_sentence = _third(about, per_doc)
     marked = wrongly + (1 - wrongly - missed) * holds
     loss = -float((wanted * np.log(marked) + (1 - wanted) * np.log(1 - marked)).sum())
     slope = (1 - wrongly - missed) * ((1 - wanted) / (1 - marked) - wanted / marked)
-    each = np.repeat(np.where(long, slope * np.exp(-over * over / 2) / sqrt(2 * pi) / spread, slope * none), per_doc, axis=0)
-    pull = each * about * np.where(np.repeat(long, per_doc, axis=0), 1 - about, 1)
+    pull = np.repeat(slope, per_doc, axis=0) * by_sentence * about * (1 - about)
     back = np.repeat(pull @ p.output.T / parts, per_sentence, axis=0)
     to_word = np.stack([np.bincount(word, back[:, d], len(own)) for d in range(DIM)], axis=1)
     to_feature = np.repeat(to_word, sizes, axis=0)
@@ -160,10 +192,10 @@ def subjects_of(docs: DataFrame, parameters: Parameters, subjects: list[str]) ->
     shared = docs.sparkSession.sparkContext.broadcast(parameters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, known, table = shared.value, {}, np.empty((0, DIM + 1), np.float32)
+        p, known, table = shared.value, {}, np.empty((1024, DIM + 1), np.float32)
         for batch in batches:
             if len(known) > 500_000:
-                known, table = {}, table[:0]
+                known = {}
             words, per_sentence, per_doc = [], [], []
             for text in batch.column(1).to_pylist():
                 found = sentences(text)
@@ -177,8 +209,10 @@ def subjects_of(docs: DataFrame, parameters: Parameters, subjects: list[str]) ->
                     known[w] = len(known)
                     feats = list(features(w))
                     fresh.append(np.r_[p.embedding[feats].sum(0), np.float32(len(feats))])
+            if len(known) > len(table):
+                table = np.concatenate([table, np.empty((max(len(table), len(known)), DIM + 1), np.float32)])
             if fresh:
-                table = np.concatenate([table, np.array(fresh, np.float32)])
+                table[len(known) - len(fresh) : len(known)] = fresh
             if not words:
                 continue
             at = np.r_[0, np.cumsum(per_sentence)[:-1]]

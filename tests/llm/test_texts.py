@@ -4,6 +4,7 @@ import os
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,6 +107,26 @@ def test_sentences():
     assert subjects.sentences(None) == [] and subjects.sentences(" 12 . !") == [] and subjects.sentences("Où ? Là !") == [["où"], ["là"]]
 
 
+@pytest.mark.parametrize("n, shape", [(n, shape) for n in (1, 2, 3, 4, 7, 40, 300, 2000) for shape in ((1, 1), (0.05, 0.05), (50, 50), (0.1, 0.9))])
+def test_the_likelihood_counts_sentences_exactly(n, shape):
+    def beyond(ps, least):
+        distribution = np.ones(1)
+        for q in ps:
+            distribution = np.r_[distribution, 0] * (1 - q) + np.r_[0, distribution] * q
+        return distribution[least:].sum() if least > 0 else 1.0
+
+    about, least = np.random.default_rng(n).beta(*shape, (2 * n + 1, 2)), -(-n // 3)
+    holds, slope = subjects._third(about, np.array([n, 1, n]))
+    for doc, at in ((0, 0), (2, n + 1)):
+        for k in range(2):
+            own = about[at : at + n, k]
+            assert abs(holds[doc, k] - beyond(own, least)) < 1e-12
+            for i in {0, n // 2, n - 1}:
+                others = np.delete(own, i)
+                assert abs(slope[at + i, k] - (beyond(others, least - 1) - beyond(others, least))) < 1e-11
+    assert np.allclose(holds[1], about[n]) and np.allclose(slope[n], 1)
+
+
 def test_subjects_are_learned_and_held_out(spark):
     random.seed(3)
     nouns = {"law": ["judge", "court", "lawyer", "verdict"], "sport": ["goal", "team", "referee", "race"], None: ["rain", "chair", "window", "street"]}
