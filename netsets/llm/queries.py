@@ -12,13 +12,14 @@ from netsets.sources.tables import folded, number_in, table
 
 def _edge_tree() -> copies.Node:
     """An interaction: the unordered pair of folded names, and the weight as delivered."""
-    ends = copies.Node((copies.Leaf(folded(F.col("node1"))), copies.Leaf(folded(F.col("node2")))), ordered=False)
-    return copies.Node((ends, copies.Leaf(number_in(F.col("weight_text")))))
+    ends = copies.Node((copies.Leaf(F.col("name_1")), copies.Leaf(F.col("name_2"))), ordered=False)
+    return copies.Node((ends, copies.Leaf(F.col("number"))))
 
 
 def _named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge rows with a name on both sides."""
-    return table(spark, sf_dir, "ppi").where((folded(F.col("node1")) != "") & (folded(F.col("node2")) != ""))
+    """The edge rows with a name on both sides: (edge_id, name_1, name_2, number), each normalised once."""
+    named = table(spark, sf_dir, "ppi").where(F.col("node1").rlike("[A-Za-z0-9]") & F.col("node2").rlike("[A-Za-z0-9]"))
+    return named.select("edge_id", folded(F.col("node1")).alias("name_1"), folded(F.col("node2")).alias("name_2"), number_in(F.col("weight_text")).alias("number"))
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
