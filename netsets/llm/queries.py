@@ -16,20 +16,20 @@ def _edge_tree() -> copies.Node:
     return copies.Node((ends, copies.Leaf(F.col("number"))))
 
 
-def _named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named_edges(ppi: DataFrame) -> DataFrame:
     """The edge rows with a name on both sides: (edge_id, name_1, name_2, number), each normalised once."""
-    named = table(spark, sf_dir, "ppi").where(F.col("node1").rlike("[A-Za-z0-9]") & F.col("node2").rlike("[A-Za-z0-9]"))
+    named = ppi.where(F.col("node1").rlike("[A-Za-z0-9]") & F.col("node2").rlike("[A-Za-z0-9]"))
     return named.select("edge_id", folded(F.col("node1")).alias("name_1"), folded(F.col("node2")).alias("name_2"), number_in(F.col("weight_text")).alias("number"))
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per interaction record and its number of copies."""
-    return copies.records(_named_edges(spark, sf_dir), _edge_tree(), "edge_id").select(F.col("first_id").alias("first_edge_id"), "copies")
+    return copies.records(_named_edges(table(spark, sf_dir, "ppi")), _edge_tree(), "edge_id").select(F.col("first_id").alias("first_edge_id"), "copies")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row but the lowest edge id of its record, with that id."""
-    return copies.copies(_named_edges(spark, sf_dir), _edge_tree(), "edge_id").select(F.col("first_id").alias("first_edge_id"), "edge_id")
+    return copies.copies(_named_edges(table(spark, sf_dir, "ppi")), _edge_tree(), "edge_id").select(F.col("first_id").alias("first_edge_id"), "edge_id")
 
 
 def p6_top(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,15 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from netsets.llm import copies, topn
-from netsets.llm.queries import _edge_tree
-from netsets.sources.tables import folded, number_in
+from netsets.llm.queries import _edge_tree, _named_edges
+from netsets.sources.tables import number_in
 
-EDGES = "edge_id long, node1 string, node2 string, weight_text string, first_id long, copies int"
+EDGES = "edge_id long, node1 string, node2 string, weight_text string"
 
 
 def found(spark, rows):
-    df = spark.createDataFrame([(*r, 0, 0) for r in rows], EDGES).where((folded(F.col("node1")) != "") & (folded(F.col("node2")) != ""))
-    return df
+    """The query's edge rows, with columns whose names clash with the result's."""
+    return _named_edges(spark.createDataFrame(rows, EDGES)).withColumns({"first_id": F.lit(0), "copies": F.lit(0)})
 
 
 def test_formatting_hides_no_copy(spark):
