@@ -387,3 +387,34 @@ def test_written_tables_go_to_the_shared_folder(spark):
 
     df = written(spark.range(3).toDF("a"), "t")
     assert df.inputFiles()[0].split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/"))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e18])
+def test_screened_pairs(monkeypatch, scale):
+    """The screen keeps every pair within 1e-9 of a row's limit, has few others, and values them as the kernel does, ties and huge numbers included."""
+    monkeypatch.setattr(similarity, "CHUNK", 64)
+    random = np.random.default_rng(3)
+    mu, var = scale * random.normal(size=(700, 6)), np.square(random.normal(size=(700, 6)))
+    mu[100:140], var[100:140] = mu[7], var[7]
+    points = similarity.SCREENS["w2"]([mu, var], 1e-8)
+    want = similarity.KERNELS["w2"]([mu[:20], var[:20]], [mu, var], 1e-8)
+    i, j, value = (np.concatenate(x) for x in zip(*similarity._lowest(points[:20], similarity._factors(points, np.float32), 4)))
+    np.testing.assert_allclose(value, want[i, j], rtol=1e-12)
+    assert set(zip(*np.nonzero(want <= np.sort(want, axis=1)[:, 3, None] + 1e-9))) == set(zip(i.tolist(), j.tolist()))
+
+
+def test_closest_sets_copies(spark, monkeypatch):
+    """The closest sets leave each cell as so many rows a set, not a block, and a vector goes to few cells."""
+    sets = [(f"s{n:04}", [float(x) for x in row[:3]], [float(x) for x in row[3:]]) for n, row in enumerate(np.random.default_rng(5).uniform(0.5, 2, size=(400, 6)))]
+    table = spark.createDataFrame(sets, "id string, mu array<double>, var array<double>")
+    near = similarity.pairwise(table, table, ["mu", "var"], ["mu", "var"], "w2", 1e-8, top=3, lowest=True, block=16)
+    cells = 2 * spark.sparkContext.defaultParallelism + 8
+    assert near.rdd.getNumPartitions() <= cells
+    rows = near.collect()
+    assert len(rows) <= 400 * 3 * 6
+    mu, var = np.array([s[1] for s in sets]), np.array([s[2] for s in sets])
+    want = similarity.KERNELS["w2"]([mu, var], [mu, var], 1e-8)
+    got = {(int(r["id_1"][1:]), int(r["id_2"][1:])): r["value"] for r in rows}
+    for n in range(400):
+        for k in np.argsort(want[n])[:3]:
+            assert abs(got[n, int(k)] - want[n, k]) < 1e-9
