@@ -418,3 +418,24 @@ def test_closest_sets_copies(spark, monkeypatch):
     for n in range(400):
         for k in np.argsort(want[n])[:3]:
             assert abs(got[n, int(k)] - want[n, k]) < 1e-9
+
+
+def test_walks_by_copies(spark, monkeypatch):
+    """Beyond the broadcast bound tasks that hold the edges give the walks of the other ways, long and a node a row, with isolated nodes."""
+    random = np.random.default_rng(2)
+    rows = [(f"n{a}", f"n{b}", float(w)) for a, b, w in zip(random.integers(0, 60, 150), random.integers(0, 60, 150), random.uniform(0.5, 2, 150))] + [("alone", "alone2", 0.0)]
+    g = graph.settled(graph.build_graph(edges(spark, rows), weight="weight"))
+    marks = graph.landmarks(g, 7)
+    want = {r["node"]: r["features"] for r in diffusion.node_features(g, marks, method="blocks").collect()}
+    monkeypatch.setattr(diffusion, "MAX_BROADCAST_EDGES", 10)
+    monkeypatch.setattr(diffusion, "PIECE", 16)
+    monkeypatch.setattr(diffusion, "NODES", 8)
+    monkeypatch.setattr(diffusion, "_by_grid", None)  # the grid moves all values of all nodes in each step
+    got = {r["node"]: r for r in diffusion.node_features(g, marks).collect()}
+    assert got.keys() == want.keys()
+    assert {r["node"]: r["pos"] for r in g.nodes.collect()} == {n: r["pos"] for n, r in got.items()}
+    for node, values in want.items():
+        np.testing.assert_allclose(got[node]["features"], values, atol=1e-12)
+    seeds = spark.createDataFrame([("n1", "a", 1.0), ("n2", "a", 3.0), ("n3", "b", 1.0)], "node string, col string, val double")
+    one, two = ({(x["node"], x["col"]): x["val"] for x in diffusion.diffuse(g, seeds, method=m).collect()} for m in ("copies", "blocks"))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
