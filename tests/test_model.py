@@ -439,3 +439,11 @@ def test_walks_by_copies(spark, monkeypatch):
     seeds = spark.createDataFrame([("n1", "a", 1.0), ("n2", "a", 3.0), ("n3", "b", 1.0)], "node string, col string, val double")
     one, two = ({(x["node"], x["col"]): x["val"] for x in diffusion.diffuse(g, seeds, method=m).collect()} for m in ("copies", "blocks"))
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
+
+
+def test_joint_distributions_are_a_row_a_node(spark, model, monkeypatch):
+    """The distributions that the epochs read have a row for each node, not for each node and landmark or set."""
+    tables, epoch = [], joint._epoch
+    monkeypatch.setattr(joint, "_epoch", lambda *a: tables.append(a[3].count()) or epoch(*a))
+    joint_fit(model.graph, sets(spark), k=3, dim=2, epochs=1)
+    assert tables == [model.graph.nodes.count()]
